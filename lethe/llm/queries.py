@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import bpe, exact, packing
+from lethe.llm import bpe, exact, langid, packing, pii
 
 
 def vocabulary() -> str:
@@ -24,6 +24,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), vocabulary())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs, model, keys=("doc_id", "held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -33,10 +39,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_packing": op8_packing,
+    "op10_pii": op10_pii,
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
