@@ -21,11 +21,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lethe.llm.words import slices
+
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose classes Python's faster re module tells apart as the pattern above does.
 PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
@@ -33,8 +34,8 @@ PLAIN_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-
 PLAIN_SPLIT_NO_QUOTE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 SHORT = 64
 NONE = (1 << 31) - 1
-#: Words a worker remembers; beyond them it begins anew.
-CACHE_WORDS = 500_000
+#: Words a worker remembers in each of two generations; those met again move to the younger.
+CACHE_WORDS = 400_000
 BLOCK = 4096
 
 
@@ -74,6 +75,7 @@ class Bpe:
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.piece_array = np.array(self.pieces, dtype=object)
         self.decimal_array = np.array([str(i) for i in range(size)], dtype=object)
 
@@ -90,7 +92,7 @@ class Bpe:
         ranks = np.full((n, width + 1), NONE, dtype=np.int32)
         inside = np.arange(width - 1) < length[:, None] - 1
         ranks[:, : width - 1][inside] = self.ranks(parts[:, : width - 1][inside], parts[:, 1:width][inside])
-        out, row, columns = np.zeros((n, width), np.int32), np.arange(n), np.arange(width + 1)
+        out, row, columns = np.zeros((n, width), np.int32), np.arange(n), np.arange(width + 1, dtype=np.int16)
         left = length.copy()
         while len(row):
             at = ranks.argmin(axis=1)
@@ -99,33 +101,38 @@ class Bpe:
                 out[row[over]], left[row[over]] = parts[over, :width], length[over]
                 going = ~over
                 row, parts, ranks, length, at, least = row[going], parts[going], ranks[going], length[going], at[going], least[going]
-            if not len(row):
-                break
-            i, after = np.arange(len(row)), at[:, None]
-            parts = np.take_along_axis(parts, np.minimum(columns + (columns > after), width), axis=1)
-            ranks = np.take_along_axis(ranks, np.minimum(columns + (columns >= after), width), axis=1)
+                if not len(row):
+                    break
+            i, after, length = np.arange(len(row)), columns[:-1] - at[:, None].astype(np.int16), length - 1
+            parts[:, :-1] = np.where(after > 0, parts[:, 1:], parts[:, :-1])
+            ranks[:, :-1] = np.where(after >= 0, ranks[:, 1:], ranks[:, :-1])
             parts[i, at] = self.made[least]
-            length = length - 1
-            for beside, has in ((at, at + 1 < length), (at - 1, at > 0)):
-                i, beside = i[has], beside[has]
-                ranks[i, beside] = self.ranks(parts[i, beside], parts[i, beside + 1])
-                i = np.arange(len(row))
+            right, before = at + 1 < length, at > 0
+            i, at = np.concatenate([i[right], i[before]]), np.concatenate([at[right], at[before] - 1])
+            ranks[i, at] = self.ranks(parts[i, at], parts[i, at + 1])
         joined = out[np.arange(width) < left[:, None]].astype("<u4").tobytes()
         ends = np.cumsum(left) * 4
         return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def learn(self, words: set[str]) -> None:
         """Merge the words that aren't remembered, those of like length in one block."""
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = sorted(((w.encode(), w) for w in words if w not in known), key=lambda x: len(x[0]))
-        for a in range(0, len(new), BLOCK):
-            block = [x for x in new[a : a + BLOCK] if len(x[0]) <= SHORT]
-            if block:
-                known.update(zip([w for _, w in block], self.merge_block([raw for raw, _ in block])))
-            for raw, w in new[a + len(block) : a + BLOCK]:
-                known[w] = np.array(self._merge_long([self.single[b] for b in raw]), dtype="<u4").tobytes()
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        known, older, missing = self.words, self.older, words.difference(self.words)
+        if older:
+            again = [w for w in missing if w in older]
+            known.update(zip(again, map(older.__getitem__, again)))
+            missing.difference_update(again)
+        new = list(missing)
+        raw = list(map(str.encode, new))
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(length)
+        short = order[: np.searchsorted(length[order], SHORT, side="right")]
+        for a in range(0, len(short), BLOCK):
+            at = short[a : a + BLOCK].tolist()
+            known.update(zip([new[i] for i in at], self.merge_block([raw[i] for i in at])))
+        for i in order[len(short) :].tolist():
+            known[new[i]] = np.array(self._merge_long([self.single[b] for b in raw[i]]), dtype="<u4").tobytes()
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         n = len(parts)
@@ -229,18 +236,6 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def text_slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes of text, one row at least."""
-    start, size = 0, 0
-    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
-        if size and size + (n or 0) > most:
-            yield start, i
-            start, size = i, 0
-        size += n or 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(df: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` and ``ids``, an array of int, for every row; null and empty texts have an empty array."""
     source = df.select(*(F.col(k) for k in keys), F.col(text).alias("__text"))
@@ -250,7 +245,7 @@ def encode(df: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[st
         model = load(vocabulary)
         for batch in batches:
             texts = batch.column(len(keys))
-            for a, b in text_slices(texts):
+            for a, b in slices(texts):
                 ids = [np.frombuffer(x, "<i4") for x in model.encode_many(texts[a:b].to_pylist())]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
@@ -287,7 +282,7 @@ def round_trip(df: DataFrame, vocabulary: str, *, text: str = "text", keys: tupl
         model = load(vocabulary)
         for batch in batches:
             texts = batch.column(len(keys))
-            for a, b in text_slices(texts):
+            for a, b in slices(texts):
                 n, of_ids, of_text = [], [], []
                 for raw in model.encode_many(texts[a:b].to_pylist()):
                     ids = np.frombuffer(raw, "<u4")

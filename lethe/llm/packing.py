@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lethe.llm import bpe
+from lethe.llm.words import slices
 
 POOL = 2048
 
@@ -155,7 +156,7 @@ def pack(df: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[str,
         for batch in batches:
             kinds = [batch.column(k).type for k in range(len(keys))]
             texts, names = batch.column(len(keys)), [batch.column(k).to_pylist() for k in range(len(keys))]
-            for a, b in bpe.text_slices(texts):
+            for a, b in slices(texts):
                 for i, ids in enumerate(model.encode_many(texts[a:b].to_pylist()), a):
                     packer.add(tuple(x[i] for x in names), ids + stop)
                 if packer.done:
