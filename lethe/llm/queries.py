@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import bpe, exact, langid, packing, pii, substring
+from lethe.llm import bpe, exact, langid, minhash, packing, pii, substring
 
 
 def vocabulary() -> str:
@@ -44,6 +44,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(_documents(spark, sf_dir).select("doc_id", "text"), n=3, percent=85)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(_documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_packing": op8_packing,
+    "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
 }
 
