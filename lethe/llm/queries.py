@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lethe.llm import bpe, exact, langid, minhash, packing, pii, substring
+from lethe.llm import bpe, exact, html_text, langid, media, minhash, packing, pii, substring
 
 
 def vocabulary() -> str:
@@ -39,6 +39,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(_documents(spark, sf_dir))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_documents(spark, sf_dir), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_media": op5_media,
+    "op6_html_text": op6_html_text,
     "op8_packing": op8_packing,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
