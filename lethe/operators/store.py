@@ -65,7 +65,7 @@ class Store:
         batch = before.where("(subject <> first.subject and first.seq < seq) or (subject = first.subject and other_seq < seq)").select("seq", "path", "fp")
         return stored.union(batch).distinct()
 
-    def ingest(self, rows: DataFrame) -> None:
+    def ingest(self, rows: DataFrame, *, state: dict | None = None) -> None:
         """Append files (seq, subject, snapshot_id, path, data, file_class); seq gives their order.
 
         Raises ValueError, with nothing written, if a class is unknown, a unique file is somebody
@@ -90,7 +90,7 @@ class Store:
         t = self.tables
         append = {"recipes": t.stage("recipes", body), "recipe_flags": t.stage("recipe_flags", flags), "chunk_log": t.stage("chunk_log", new), "fp_index": t.stage("fp_index", new)}
         top = chunks.agg(F.max("recipe_id")).first()[0]
-        t.commit(append=append, replace={"wraps": t.stage("wraps", wraps), "subject_keys": t.stage("subject_keys", keys)}, state={"next_recipe": base if top is None else top + 1})
+        t.commit(append=append, replace={"wraps": t.stage("wraps", wraps), "subject_keys": t.stage("subject_keys", keys)}, state={"next_recipe": base if top is None else top + 1} | (state or {}))
         for p in (path, *done):
             scratch.drop(self.spark, p)
 
