@@ -15,6 +15,7 @@ gets the most frequent language at score 0.  Without any labelled row all texts
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lethe.llm.words import slices
+
 WORD = re.compile(r"[^\W\d_]+")
+#: The same for lower-cased text of these characters alone, with a class that is searched faster.
+PLAIN = re.compile(r"[^\t-\r -~À-ÖØ-öø-ÿ]")
+PLAIN_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 #: First code point of each range of scripts.
 SCRIPTS = np.array([0, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1780, 0x1800, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3190, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0x20000])
 SAMPLE, FEATURES, PENALTY, CLIP = 1500, 60_000, 14.0, 8.0
@@ -120,8 +126,12 @@ class Scorer:
         self.table[first:last] = found
         self.place.update(zip(new, range(first, last)))
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+    def scores(self, words: list[list[str]]) -> list[np.ndarray]:
+        """Scores of each text's words."""
+        self.learn(set().union(*words))
+        lengths = [len(w) for w in words]
+        flat = np.fromiter(map(self.place.__getitem__, itertools.chain.from_iterable(words)), np.int64, sum(lengths))
+        return np.split(self.table[flat], np.cumsum(lengths)[:-1])
 
 
 def path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -134,17 +144,16 @@ def path(scores: np.ndarray, penalty: float) -> np.ndarray:
     run = np.cumsum(gain)
     if (run - np.minimum.accumulate(np.concatenate([[0.0], run[:-1]]))).max() < penalty:
         return np.full(n, best)
-    value, back = scores[0].astype(np.float64), np.zeros((n, k), np.int32)
-    stay = np.arange(k, dtype=np.int32)
-    for t in range(1, n):
-        top = int(value.argmax())
-        over = value[top] - penalty
-        back[t] = np.where(value >= over, stay, top)
-        value = np.maximum(value, over) + scores[t]
+    rows, value, back = scores.tolist(), scores[0].tolist(), []
+    for row in rows[1:]:
+        most = max(value)
+        top, over = value.index(most), most - penalty
+        back.append([j if v >= over else top for j, v in enumerate(value)])
+        value = [(v if v >= over else over) + x for v, x in zip(value, row)]
     out = np.zeros(n, np.int64)
-    out[-1] = value.argmax()
+    at = out[-1] = value.index(max(value))
     for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+        at = out[t - 1] = back[t - 1][at]
     return out
 
 
@@ -152,17 +161,26 @@ def _has_letter(words: list[str]) -> bool:
     return any(any(map(str.isalpha, w)) for w in words)
 
 
-def label(text: str | None, scorer: Scorer, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
-    """Language, score and labelled spans of a text whose words have been learnt."""
-    low = (text or "").lower()
-    words = WORD.findall(low)
-    names = scorer.model.languages
-    if not names or not _has_letter(words):
+def words_of(low: str) -> list[str]:
+    return (WORD if PLAIN.search(low) else PLAIN_WORD).findall(low)
+
+
+def label_many(texts: list[str | None], scorer: Scorer, penalty: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """Language, score and labelled spans of each text."""
+    lows = [(t or "").lower() for t in texts]
+    words = [words_of(low) for low in lows]
+    if not scorer.model.languages:
+        return [("und", 0.0, [])] * len(texts)
+    return [_label(*x, scorer.model, penalty) for x in zip(texts, lows, words, scorer.scores(words))]
+
+
+def _label(text: str | None, low: str, words: list[str], scores: np.ndarray, model: Model, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
+    names = model.languages
+    if not _has_letter(words):
         return "und", 0.0, []
-    scores = scorer.scores(words)
     labels = path(scores, penalty)
     if not scores.any():
-        return names[int(scorer.model.prior.argmax())], 0.0, []
+        return names[int(model.prior.argmax())], 0.0, []
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     weight = np.bincount(labels, weights=lengths, minlength=len(names))
     best = int(weight.argmax())
@@ -192,11 +210,8 @@ def predict(df: DataFrame, model: Model, *, text: str = "text", keys: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            found = []
-            for t in batch.column(len(keys)):
-                value = t.as_py()
-                scorer.learn(set(WORD.findall((value or "").lower())))
-                found.append(label(value, scorer, penalty))
+            texts = batch.column(len(keys))
+            found = [x for a, b in slices(texts, 1 << 20) for x in label_many(texts[a:b].to_pylist(), scorer, penalty)]
             spans = [[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(len(keys))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, arrow)],
@@ -218,10 +233,8 @@ def accept(df: DataFrame, model: Model, *, text: str = "text", penalty: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            keep = []
-            for value in batch.column(at).to_pylist():
-                scorer.learn(set(WORD.findall((value or "").lower())))
-                keep.append(label(value, scorer, penalty)[0] != "und")
+            texts = batch.column(at)
+            keep = [x[0] != "und" for a, b in slices(texts, 1 << 20) for x in label_many(texts[a:b].to_pylist(), scorer, penalty)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

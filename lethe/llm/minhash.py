@@ -8,11 +8,12 @@
    five standard deviations below the threshold are dropped, the others are confirmed on full sets.
 3. Only connections are needed, so a pair inside one component is never looked at.  First every node
    meets its buckets' least nodes: the one with the best estimate, then the others.  Then buckets
-   that still hold several components are compared inside, in blocks of ``block`` nodes and by
-   signature, first each node's best few partners, then all that are left.  Buckets of copies of one
-   text are one component by then; what isn't merged is compared whole, with no cap.
+   that still hold several components are compared inside, in pairs of blocks of ``block`` nodes, by
+   signature and, for nodes with a partner left, on full sets; only links that join components come
+   out.  Buckets of copies of one text are one component by then; the others are compared whole.
 
-A pair at the threshold shares no bucket with probability (1 - t**rows)**bands, 3e-7 at 0.85.
+A pair at the threshold shares no bucket with probability (1 - t**rows)**bands: 3e-7 at 0.85 and
+6e-5 at 0.8.
 
 Null and empty texts have the empty set, no links, and are components of their own.  Repeated rows
 are linked (equal sets); component_id is the least id of a component, null only if all its ids are.
@@ -35,7 +36,7 @@ from lethe.llm import words as W
 from lethe.plans import components, scratch
 
 BANDS, ROWS, BITS = 32, 6, 4
-BLOCK = 2048
+BLOCK = 512
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -171,59 +172,116 @@ def _confirm(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataF
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _inside(members: DataFrame, least: int, top: int | None) -> DataFrame:
-    """Pairs of different components in a bucket with enough equal groups; members: k, g, side, node, comp, bits.
-
-    Rows of one (k, g) are a block of nodes (side 0) and another (side 1), or one block alone.  With
-    ``top``, each node's best so many.
-    """
+BLOCK_ROWS = "k long, g long, side int, node binary, comp binary, bits array<long>, buckets array<long>"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each (k, g), which lie together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        k, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(k) != 0) | (np.diff(g) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if held and (held[-1].column(0)[0] != part.column(0)[0] or held[-1].column(1)[0] != part.column(1)[0]):
+                yield pa.concat_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _alike(block: pa.RecordBatch, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of different components with enough equal groups whose first bucket in common is this block's."""
+    side = block.column(2).to_numpy()
+    comps = block.column(4).dictionary_encode().indices.to_numpy()
+    bits, buckets = (block.column(i).flatten().to_numpy().reshape(block.num_rows, -1) for i in (5, 6))
+    bits, key = bits.view(np.uint64), block.column(0)[0].as_py()
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(two)
+    two = one if alone else two
+    found_p, found_q = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(0, len(one), 64):
+        rows = one[i : i + 64]
+        equal = np.full((len(rows), len(two)), BANDS * ROWS, np.int16)
+        for k in range(LONGS):
+            z = bits[rows, k, None] ^ bits[None, two, k]
+            z |= z >> np.uint64(1)
+            z |= z >> np.uint64(2)
+            equal -= np.bitwise_count(z & np.uint64(_ONES)).astype(np.int16)
+        good = (equal >= least) & (comps[rows, None] != comps[None, two])
+        if alone:
+            good &= rows[:, None] < two[None, :]
+        p, q = np.nonzero(good)
+        p, q = rows[p], two[q]
+        first = (buckets[p] == buckets[q]).argmax(axis=1)
+        here = buckets[p, first] == key
+        found_p.append(p[here])
+        found_q.append(q[here])
+    return np.concatenate(found_p), np.concatenate(found_q)
+
+
+def _suspects(members: DataFrame, least: int) -> DataFrame:
+    """The rows of blocks that have a partner to be looked at in full; by signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def pairs() -> pa.RecordBatch | None:
-            nodes = [[r for r in held if r[0] == s] for s in (0, 1)]
-            one, two = nodes[0], nodes[1] or nodes[0]
-            if not one:
-                return None
-            x, y = (np.array([r[3] for r in rows], dtype=np.int64).view(np.uint64) for rows in (one, two))
-            comps = {c: i for i, c in enumerate({r[2] for r in held})}
-            cx, cy = (np.array([comps[r[2]] for r in rows]) for rows in (one, two))
-            out_a, out_b = [], []
-            for i in range(0, len(one), 64):
-                equal = np.full((len(x[i : i + 64]), len(y)), BANDS * ROWS, np.int16)
-                for k in range(LONGS):
-                    z = x[i : i + 64, k, None] ^ y[None, :, k]
-                    z |= z >> np.uint64(1)
-                    z |= z >> np.uint64(2)
-                    equal -= np.bitwise_count(z & np.uint64(_ONES)).astype(np.int16)
-                equal[cx[i : i + 64, None] == cy[None, :]] = -1
-                if not nodes[1]:
-                    equal[np.arange(i, i + len(equal))[:, None] >= np.arange(len(y))[None, :]] = -1
-                if top is not None and equal.shape[1] > top:
-                    cut = np.partition(equal, equal.shape[1] - top, axis=1)[:, equal.shape[1] - top]
-                    equal[equal < cut[:, None]] = -1
-                p, q = np.nonzero(equal >= least)
-                if top is not None and len(p) > 4 * top * len(equal):
-                    rank = np.arange(len(p)) - np.searchsorted(p, p)
-                    p, q = p[rank < top], q[rank < top]
-                out_a += [one[i + j][1] for j in p.tolist()]
-                out_b += [two[j][1] for j in q.tolist()]
-            low = [min(a, b) for a, b in zip(out_a, out_b)]
-            high = [max(a, b) for a, b in zip(out_a, out_b)]
-            return pa.RecordBatch.from_arrays([pa.array(high, pa.binary()), pa.array(low, pa.binary())], ["a", "b"])
+        for block in _blocks(batches):
+            p, q = _alike(block, least)
+            if len(p):
+                yield block.take(pa.array(np.unique(np.concatenate([p, q]))))
 
-        for batch in batches:
-            for k, g, side, node, comp, bits in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if (k, g) != at:
-                    if held and (found := pairs()) is not None:
-                        yield found
-                    at, held = (k, g), []
-                held.append((side, node, comp, bits))
-        if held and (found := pairs()) is not None:
-            yield found
+    return members.mapInArrow(run, BLOCK_ROWS)
 
-    return members.mapInArrow(run, "a binary, b binary").distinct()
+
+def _links_inside(suspects: DataFrame, least: int, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each block; suspects: ``BLOCK_ROWS`` and body.
+
+    Every pair that isn't joined by links found before is compared on full sets; a link is given only
+    where it joins two components, so a block of m rows gives fewer than m.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            p, q = _alike(block, least)
+            if not len(p):
+                continue
+            sets = shingles([t.as_py().encode() for t in block.column(7)], n)
+            sizes = np.array([len(x) for x in sets])
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            parent = list(range(block.num_rows))
+            comps = block.column(4).dictionary_encode().indices.to_numpy()
+            names, links = block.column(3).to_pylist(), []
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            flag = np.zeros(len(ids), np.int64)
+            order = np.argsort(p, kind="stable")
+            p, q = p[order], q[order]
+            edges = np.searchsorted(p, np.unique(p)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(p)]):
+                x, mine = int(p[a]), comps[p[a]]
+                others = np.array([y for y in q[a:b].tolist() if root(comps[y]) != root(mine)], np.int64)
+                if not len(others):
+                    continue
+                own = ids[starts[x] : starts[x] + sizes[x]]
+                flag[own] = 1
+                common = np.array([flag[ids[starts[y] : starts[y] + sizes[y]]].sum() for y in others.tolist()])
+                flag[own] = 0
+                for y in others[100 * common >= percent * (sizes[x] + sizes[others] - common)].tolist():
+                    if root(comps[y]) != root(mine):
+                        parent[root(comps[y])] = root(mine)
+                        links.append((max(names[x], names[y]), min(names[x], names[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return suspects.mapInArrow(run, "a binary, b binary")
 
 
 class Graph:
@@ -263,41 +321,35 @@ def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int =
     nodes = scratch.table(firsts.groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("bits").alias("bits"), F.min(F.struct("part", "seq")).alias("at")), "near-nodes")
     least = least_equal(percent / 100)
     members = nodes.select("node", F.explode("buckets").alias("k"))
-    shared = scratch.table(members.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1"), "near-buckets")
-    bits = nodes.select("node", "bits")
-    star = members.join(shared, "k").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    several = members.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1")
+    shared = scratch.table(members.join(several, "k"), "near-shared")
+    bits = nodes.join(shared.select("node").distinct(), "node", "left_semi")
+    bits = scratch.table(bits.select("node", "bits", "buckets", "at"), "near-bits")
+    star = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     star = star.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b")
     star = scratch.table(star.select("a", "b", equal_groups("bits_a", "bits_b").alias("equal")).where(F.col("equal") >= least), "near-star")
-    # texts of all nodes that share a bucket; a node's first row has it
-    wanted = members.join(shared.where("m > 1").select("k"), "k").select("node").distinct().join(nodes.select("node", "at.part", "at.seq"), "node")
+    # texts of all nodes that share a bucket, from the first row of each
+    wanted = bits.select("node", "at.part", "at.seq")
     bodies = scratch.table(records.select("part", "seq", F.col(f"row.`{text}`").alias("body")).join(wanted, ["part", "seq"]).select("node", "body"), "near-bodies")
     graph = Graph(spark)
-    tested: DataFrame | None = None
-
-    def look(pairs: DataFrame) -> None:
-        nonlocal tested
-        now = scratch.table(pairs, "near-pairs")
-        if now.isEmpty():
-            return
-        links = scratch.table(_confirm(now, bodies, n, percent), "near-links")
-        tested = now if tested is None else tested.union(now)
-        if not links.isEmpty():
-            graph.add(links)
-
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
-    look(best.select("a", "b"))
-    look(graph.across(star.select("a", "b").join(tested, ["a", "b"], "left_anti")) if tested is not None else star.select("a", "b"))
-    for top in (3, None):
-        inside = graph.label(members.join(shared.where("m > 2"), "k"), "node", "comp")
-        several = inside.groupBy("k").agg((F.min("comp") != F.max("comp")).alias("several")).where("several")
-        rows = inside.select("k", "node", "comp", "m").join(several.select("k"), "k", "left_semi").join(bits, "node")
-        blocks = F.ceil(F.col("m") / block).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks)
-        other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-        rows = rows.select("k", "node", "comp", "bits", own.cast("int").alias("own"), other)
-        grouped = rows.select("k", (F.least("own", "other") * 1000003 + F.greatest("own", "other")).alias("g"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "bits")
-        pairs = _inside(grouped.repartition("k", "g").sortWithinPartitions("k", "g"), least, top)
-        look(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+
+    def add(links: DataFrame) -> None:
+        found = scratch.table(links, "near-links")
+        if not found.isEmpty():
+            graph.add(found)
+
+    best = star.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")).select("a", "b")
+    add(_confirm(best, bodies, n, percent))
+    add(_confirm(graph.across(star.join(best, ["a", "b"], "left_anti").select("a", "b")), bodies, n, percent))
+    inside = graph.label(shared.where("m > 2").select("k", "node", "m"), "node", "comp")
+    mixed = inside.groupBy("k").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("k")
+    rows = inside.join(mixed, "k", "left_semi").join(bits.select("node", "bits", "buckets"), "node")
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    rows = rows.select("k", "node", "comp", "bits", "buckets", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    pair = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
+    rows = rows.select("k", pair.alias("g"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "bits", "buckets")
+    suspects = scratch.table(_suspects(rows.repartition("k", "g").sortWithinPartitions("k", "g"), least), "near-suspects")
+    add(_links_inside(suspects.join(bodies, "node").select("k", "g", "side", "node", "comp", "bits", "buckets", "body").repartition("k", "g").sortWithinPartitions("k", "g"), least, n, percent))
     return graph.label(records.select("row", "part", "seq", "id", "size", "node"), "node", "label").drop("node")
 
 
