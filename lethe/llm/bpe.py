@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lethe.llm.words import slices
 
@@ -239,7 +240,7 @@ def load(path: str) -> Bpe:
 def encode(df: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys`` and ``ids``, an array of int, for every row; null and empty texts have an empty array."""
     source = df.select(*(F.col(k) for k in keys), F.col(text).alias("__text"))
-    schema = df.select(*keys).schema.add("ids", "array<int>")
+    schema = df.select(*keys).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(vocabulary)
