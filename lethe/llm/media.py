@@ -155,7 +155,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         files, root = fs.FileSystem.from_uri(self.path)
-        found = files.get_file_info(fs.FileSelector(root))
+        found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
         sizes = {f.base_name: f.size for f in found}
         out = []
         for f in sorted(x.path for x in found if x.base_name.endswith(".list")):
