@@ -321,7 +321,8 @@ def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int =
     nodes = scratch.table(firsts.groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("bits").alias("bits"), F.min(F.struct("part", "seq")).alias("at")), "near-nodes")
     least = least_equal(percent / 100)
     members = nodes.select("node", F.explode("buckets").alias("k"))
-    several = members.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1")
+    # what is counted by key is written before it is joined to that key's rows, so a hot key's rows can be split
+    several = scratch.table(members.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1"), "near-several")
     shared = scratch.table(members.join(several, "k"), "near-shared")
     bits = nodes.join(shared.select("node").distinct(), "node", "left_semi")
     bits = scratch.table(bits.select("node", "bits", "buckets", "at"), "near-bits")
@@ -342,7 +343,7 @@ def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int =
     add(_confirm(best, bodies, n, percent))
     add(_confirm(graph.across(star.join(best, ["a", "b"], "left_anti").select("a", "b")), bodies, n, percent))
     inside = graph.label(shared.where("m > 2").select("k", "node", "m"), "node", "comp")
-    mixed = inside.groupBy("k").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("k")
+    mixed = scratch.table(inside.groupBy("k").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("k"), "near-mixed")
     rows = inside.join(mixed, "k", "left_semi").join(bits.select("node", "bits", "buckets"), "node")
     blocks = F.ceil(F.col("m") / block).cast("int")
     rows = rows.select("k", "node", "comp", "bits", "buckets", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -356,7 +357,7 @@ def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int =
 def dedup(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each input row: ``key``, n_shingles, component_id, kept."""
     rows = cluster(df, text=text, key=key, n=n, percent=percent).select("id", "size", "label")
-    least = rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
+    least = scratch.table(rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component")), "near-least")
     out = rows.join(least, "label", "left")
     component = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.col("id").isNull() & component.isNull()).alias("kept"))
