@@ -3,8 +3,13 @@
 Markup is stripped into lines, one for each block element, and lines of menus, page headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments become blank.  Text lengths,
 without link text, are summed over sliding windows of ``WIDTH`` lines.  A window at or over
-``SURGE`` characters is a surge point, the next blank window or the end is its dive point; the text
-between them is kept.  Where the page has an article or main element, its lines are the range.
+``SURGE`` characters that begins with text is a surge point, the next blank window or the end is its
+dive point; the text between them is kept.  Where no window is that large, the largest is one.
+
+Article and main elements with text are ranges: where a page has any, the windows run over each of
+them by itself, and nothing else is kept.  The mark weighs as much as ``SURGE``: any window that
+begins with text is a surge point there, and unwanted elements leave no blanks, so that short
+headings stay and only lines of links are cut, at the start and wherever they fill a window.
 
 Null and empty pages give an empty text; broken markup is read as far as it goes: an unclosed
 comment or script ends with the page.  Every page is judged alone, in time linear in its length.
@@ -137,24 +142,28 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _ranges(found: list[tuple[str, int, int]]) -> tuple[list[list[tuple[str, int]]], bool]:
+    """Text and length of the lines of each article or main element with text, and true; else of the page, blanks included."""
+    parts: dict[int, list[tuple[str, int]]] = {}
+    for t, n, part in found:
+        if part and t:
+            parts.setdefault(part, []).append((t, n))
+    marked = [rows for rows in parts.values() if any(n for _, n in rows)]
+    return marked or [[(t, n) for t, n, _ in found]], bool(marked)
+
+
 def main_text(page: str | None) -> str:
     """The kept lines, joined by one space."""
-    found = lines(page or "")
-    sizes: dict[int, int] = {}
-    for _, n, part in found:
-        if part:
-            sizes[part] = sizes.get(part, 0) + n
-    if sizes and max(sizes.values()):
-        best = max(sizes, key=lambda k: (sizes[k], -k))
-        return " ".join(t for t, _, part in found if part == best and t)
-    lengths = [n for _, n, _ in found]
-    sums = [sum(lengths[i : i + WIDTH]) for i in range(len(lengths))]
-    keep, inside = [], False
-    for i, total in enumerate(sums):
-        inside = total > 0 if inside else total >= SURGE
-        if inside:
-            keep.append(i)
-    return " ".join(found[i][0] for i in keep if found[i][0])
+    keep = []
+    ranges, marked = _ranges(lines(page or ""))
+    for rows in ranges:
+        sums = [sum(n for _, n in rows[i : i + WIDTH]) for i in range(len(rows))]
+        surge, inside = 1 if marked else min(SURGE, max(sums, default=0)), False
+        for (t, n), total in zip(rows, sums):
+            inside = total > 0 and (inside or n > 0 and total >= surge)
+            if inside and t:
+                keep.append(t)
+    return " ".join(keep)
 
 
 def extract(df: DataFrame, *, page: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

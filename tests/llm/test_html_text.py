@@ -30,6 +30,19 @@ def test_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<main><p>{LONG}</p>" + "<p><a href=x>Read this next</a></p>" * 5 + f"<p>{LONG}</p>" + "<p><a href=x>More</a></p>" * 5 + "</main>", f"{LONG.strip()} {LONG.strip()}"),
+        (f"<article><p>{LONG}</p></article><p>between</p><article><p>{LONG}{LONG}</p></article>", f"{LONG}{LONG}{LONG.strip()}"),
+        (f"<article><p>A short note.</p></article><article><p>{LONG}</p></article>", f"A short note. {LONG.strip()}"),
+        ("<div><p>A short page.</p></div>", "A short page."),
+    ],
+)
+def test_windows_judge_marked_pages(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_long_broken_page():
     page = "<div><p class='" * 20000 + "<article>" + f"<p>{LONG}" * 2000
     assert isinstance(html_text.main_text(page), str)
