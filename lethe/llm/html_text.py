@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,6 +68,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     """Text, length without links, and number of its article or main element (0: none) of each line; blank where unwanted."""
     out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, bool]] = []
+    opened: Counter[str] = Counter()
     drop = mains = links = found = at = 0
     current_main = 0
     text: list[str] = []
@@ -82,6 +84,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     def pop() -> None:
         nonlocal drop, mains, links, current_main
         tag, dropped = stack.pop()
+        opened[tag] -= 1
         if dropped:
             drop -= 1
             if not drop:
@@ -108,7 +111,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if tag in BLOCK:
             end_line()
         if m["end"]:
-            if any(tag == t for t, _ in stack[-200:]):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -137,6 +140,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             mains += 1
         links += tag == "a"
         stack.append((tag, dropped))
+        opened[tag] += 1
     add(page[at:])
     end_line()
     return out

@@ -43,6 +43,12 @@ def test_windows_judge_marked_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("many", ["<li><a href=x>Item" * 101, "<font>" * 201, "<b>Item" * 5000])
+def test_closing_tags_find_their_element_at_any_depth(many):
+    assert html_text.main_text(f"<nav>{many}</nav><article><p>{LONG}</p></article>") == LONG.strip()
+    assert html_text.main_text(f"<article><p>{LONG}</p>{many.replace('Item', '')}</article><p>{LONG}</p>") == LONG.strip()
+
+
 def test_long_broken_page():
     page = "<div><p class='" * 20000 + "<article>" + f"<p>{LONG}" * 2000
     assert isinstance(html_text.main_text(page), str)
