@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,13 +29,18 @@ from pyspark.sql import functions as F
 
 WIDTH, SURGE = 3, 80
 
-TOKEN = re.compile(
+_TOKEN = (
     r"""<!--(?:.*?-->|.*)"""
     r"""|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|canvas|object|math|select)(?=[\s/>])(?:[^>]*/>|.*?</(?P=raw)\s*>|.*)"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]{0,60})(?P<attrs>(?:[^>"']|"[^"]{0,4096}"|'[^']{0,4096}')*+|[^>]*)>"""
-    r"""|<[!?/][^>]*>""",
-    re.S | re.I,
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]{0,60})(?P<attrs>ATTRS)>"""
+    r"""|<[!?/][^>]*>"""
 )
+#: Tags end at the first ">" outside quotes; LOOSE has those whose quotes never leave one outside.
+TOKEN = re.compile(_TOKEN.replace("ATTRS", r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""), re.S | re.I)
+LOOSE = re.compile(_TOKEN.replace("ATTRS", "[^>]*"), re.S | re.I)
+#: What still matters where no ">" follows.
+TAIL = re.compile(_TOKEN[: _TOKEN.index("|<(?P<end>")] + "|(?P<end>(?!))(?P<tag>)(?P<attrs>)", re.S | re.I)
+MARK = re.compile("""["'>]""")
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li link main menu meta nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROP = frozenset("head nav footer aside form button menu dialog fieldset label datalist audio video map".split())
@@ -64,6 +70,40 @@ def _unwanted(tag: str, attrs: str, inside_main: bool) -> bool:
     return False
 
 
+def _closing(page: str) -> tuple[list[int], list[bool]]:
+    """Where quotes and ">" are, and whether a ">" outside quotes follows for a tag that comes to each of them outside quotes."""
+    marks = [m.start() for m in MARK.finditer(page)]
+    ends = [False] * len(marks)
+    later: dict[str, int] = {}
+    for i in range(len(marks) - 1, -1, -1):
+        c = page[marks[i]]
+        if c == ">":
+            ends[i] = True
+        else:
+            after = later.get(c, len(marks)) + 1
+            ends[i] = after < len(marks) and ends[after]
+            later[c] = i
+    return marks, ends
+
+
+def _tokens(page: str) -> Iterator[re.Match]:
+    """Matches of TOKEN, and of LOOSE for tags whose quotes leave no ">" outside; that is looked up once one was met, so time stays linear."""
+    marks, last = None, page.rfind(">")
+    at = page.find("<")
+    while 0 <= at < last:
+        if marks is None:
+            m = TOKEN.match(page, at)
+            if not m and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+                marks, ends = _closing(page)
+        if marks is not None:
+            m = ends[bisect_left(marks, at)] and TOKEN.match(page, at) or LOOSE.match(page, at)
+        if m:
+            yield m
+        at = page.find("<", m.end() if m else at + 1)
+    if at >= 0 and (m := TAIL.search(page, at)):
+        yield m
+
+
 def lines(page: str) -> list[tuple[str, int, int]]:
     """Text, length without links, and number of its article or main element (0: none) of each line; blank where unwanted."""
     out: list[tuple[str, int, int]] = []
@@ -102,7 +142,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             if links:
                 linked += len(piece.strip())
 
-    for m in TOKEN.finditer(page):
+    for m in _tokens(page):
         add(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()

@@ -1,6 +1,7 @@
 """Main texts of small pages, and the query's row for every page."""
 
 import re
+import time
 
 import pytest
 
@@ -49,6 +50,22 @@ def test_closing_tags_find_their_element_at_any_depth(many):
     assert html_text.main_text(f"<article><p>{LONG}</p>{many.replace('Item', '')}</article><p>{LONG}</p>") == LONG.strip()
 
 
+@pytest.mark.parametrize("quote", "\"'")
+@pytest.mark.parametrize("size", [10, 4096, 5000, 300_000])
+def test_quoted_values_of_any_length(quote, size):
+    value = "<svg><p>no</p>" + "x" * size + "<article>"
+    assert html_text.main_text(f"<article><p>{LONG}</p><div data-x={quote}{value}{quote}>End.</div></article>") == f"{LONG.strip()} End."
+    assert html_text.main_text(f"<article><p class={quote}x>{LONG}</p>{'y' * size}</article>") == f"{LONG.strip()} {'y' * size}"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", "<a '><b \"", "<a '>' \"", "<!", "</", "<p class='x>"])
+def test_broken_tags_take_linear_time(piece):
+    start = time.process_time()
+    html_text.main_text(piece * 100_000)
+    html_text.main_text("<p>" + piece * 100_000 + '"' + ">")
+    assert time.process_time() - start < 10
+
+
 def test_long_broken_page():
     page = "<div><p class='" * 20000 + "<article>" + f"<p>{LONG}" * 2000
     assert isinstance(html_text.main_text(page), str)
