@@ -11,6 +11,10 @@ them by itself, and nothing else is kept.  The mark weighs as much as ``SURGE``:
 begins with text is a surge point there, and unwanted elements leave no blanks, so that short
 headings stay and only lines of links are cut, at the start and wherever they fill a window.
 
+Menus, page headers and the like are known by tag, role, or a whole class or id of such words.  A form
+or an element known by its class or id alone is kept if it is or holds the largest article or main
+element, or holds most of the page's text and an article or main element where the page has one.
+
 Null and empty pages give an empty text; broken markup is read as far as it goes: an unclosed
 comment or script ends with the page.  Every page is judged alone, in time linear in its length.
 """
@@ -52,22 +56,36 @@ UNWANTED = frozenset(
     "sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies reply discussion related recommended recommendations readmore share sharing "
     "social widget pagination pager login signin signup search copyright legal disclaimer skip hidden".split()
 )
+#: Words that go with those in one token, as in "site-footer" or "comments-area".
+AFFIXES = frozenset("a the site page global main primary secondary tertiary top bottom left right upper lower inner outer sticky fixed mobile desktop area bar block box btn button buttons container form group header icon icons inline item items link links list message module panel post posts row section slot text title unit wrap wrapper js".split())
+HARD, SOFT = 1, 2
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 
 
-def _unwanted(tag: str, attrs: str, inside_main: bool) -> bool:
+def _named(value: str) -> bool:
+    """Whether a class or id has a whole token of UNWANTED words, with AFFIXES at most."""
+    for token in value.split():
+        parts = [x for x in re.split("[_-]+", token) if x]
+        if not UNWANTED.isdisjoint(parts) and all(x in UNWANTED or x in AFFIXES or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attrs: str, inside_main: bool) -> int:
+    """HARD for elements to drop, SOFT for those that may turn out to hold the main text, 0 for others."""
     if tag in DROP or tag == "header" and not inside_main:
-        return True
+        return SOFT if tag in ("form", "fieldset") else HARD
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return 0
+    kind = 0
     for name, *values in NAMES.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and not UNWANTED.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+        if name in ("class", "id") and _named(value):
+            kind = SOFT
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return HARD
+    return kind
 
 
 def _closing(page: str) -> tuple[list[int], list[bool]]:
@@ -106,8 +124,27 @@ def _tokens(page: str) -> Iterator[re.Match]:
 
 def lines(page: str) -> list[tuple[str, int, int]]:
     """Text, length without links, and number of its article or main element (0: none) of each line; blank where unwanted."""
+    out, spared = _scan(page, frozenset())
+    return _scan(page, spared)[0] if spared else out
+
+
+def _spared(soft: list[tuple[int, int, int]], mains: list[tuple[int, int, int]], total: int) -> frozenset[int]:
+    """Starts of the SOFT elements that are or hold the largest article or main element, or hold most of the text and such an element, if there is any."""
+    mains = [x for x in mains if x[2]]
+    if not mains:
+        return frozenset(a for a, _, n in soft if 2 * n > total)
+    best = max(mains, key=lambda x: (x[2], x[0]))
+    starts = sorted(a for a, _, _ in mains)
+    holds = lambda a, b: (i := bisect_left(starts, a)) < len(starts) and starts[i] < b
+    return frozenset(a for a, b, n in soft if a <= best[0] and best[1] <= b or 2 * n > total and holds(a, b))
+
+
+def _scan(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, int, int]], frozenset[int]]:
+    """The lines with ``spared`` elements kept, and the starts of those to spare."""
     out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int, int, int]] = []
+    spans: dict[bool, list[tuple[int, int, int]]] = {False: [], True: []}
+    hard = seen = 0
     opened: Counter[str] = Counter()
     drop = mains = links = found = at = 0
     current_main = 0
@@ -121,9 +158,17 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             out.append((joined, max(0, len(joined) - linked), current_main))
         text, linked = [], 0
 
+    def close(tag: str, dropped: int, start: int, before: int) -> None:
+        if dropped == SOFT:
+            spans[False].append((start, at, seen - before))
+        if tag in MAIN and not hard:
+            spans[True].append((start, at, seen - before))
+
     def pop() -> None:
-        nonlocal drop, mains, links, current_main
-        tag, dropped = stack.pop()
+        nonlocal drop, hard, mains, links, current_main
+        tag, dropped, start, before = stack.pop()
+        close(tag, dropped, start, before)
+        hard -= dropped == HARD
         opened[tag] -= 1
         if dropped:
             drop -= 1
@@ -136,7 +181,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         links -= tag == "a"
 
     def add(piece: str) -> None:
-        nonlocal linked
+        nonlocal linked, seen
+        if not hard:
+            seen += len(piece.strip())
         if piece and not drop:
             text.append(piece)
             if links:
@@ -161,7 +208,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         closing = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK else set())
         while stack and stack[-1][0] in closing:
             pop()
-        if tag in BLOCK and any(t == "p" for t, _ in stack[-3:]) and tag != "br":
+        if tag in BLOCK and any(x[0] == "p" for x in stack[-3:]) and tag != "br":
             while stack[-1][0] != "p":
                 pop()
             pop()
@@ -169,6 +216,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if attrs.endswith("/") and tag not in BLOCK:
             continue
         dropped = _unwanted(tag, attrs, bool(mains))
+        if dropped == SOFT and m.start() in spared:
+            dropped = 0
+        hard += dropped == HARD
         if dropped:
             if not drop:
                 out.extend([("", 0, current_main)] * WIDTH)
@@ -179,11 +229,14 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 current_main = found
             mains += 1
         links += tag == "a"
-        stack.append((tag, dropped))
+        stack.append((tag, dropped, m.start(), seen))
         opened[tag] += 1
     add(page[at:])
     end_line()
-    return out
+    at = len(page)
+    for x in reversed(stack):
+        close(*x)
+    return out, _spared(spans[False], spans[True], seen)
 
 
 def _ranges(found: list[tuple[str, int, int]]) -> tuple[list[list[tuple[str, int]]], bool]:

@@ -50,6 +50,20 @@ def test_closing_tags_find_their_element_at_any_depth(many):
     assert html_text.main_text(f"<article><p>{LONG}</p>{many.replace('Item', '')}</article><p>{LONG}</p>") == LONG.strip()
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<div class="content-sidebar-wrap"><main>', "</main></div>"), ('<div class="layout no-sidebar"><article>', "</article></div>"), ('<article class="post has-sidebar">', "</article>"),
+        ('<section id="legal-news"><article>', "</article></section>"), ('<article class="related-work">', "</article>"), ("<div class=sidebar><article>", "</article></div>"),
+        ("<div class='left-sidebar'><div id=search><main>", "</main></div></div>"), ("<article class=notice>", "</article>"), ("<div class=overlay>", "</div>"), ("<form id=aspnet><main>", "</main></form>"),
+        ("<main><h1></h1><div class=sidebar-wrap><article>", "</article></div></main>"), ('<section class="legal-news">', "</section>"),
+    ],
+)
+def test_wrappers_of_the_main_text_stay(before, after):
+    unwanted = "".join(f'<div class="{c}"><p>Not this.</p></div>' for c in ("sidebar", "site-footer", "col ad-banner", "comments-area", "cookie_notice"))
+    assert html_text.main_text(f"<body>{unwanted}{before}<p>{LONG}</p><p>{LONG}</p>{after}{unwanted}</body>") == f"{LONG}{LONG.strip()}"
+
+
 @pytest.mark.parametrize("quote", "\"'")
 @pytest.mark.parametrize("size", [10, 4096, 5000, 300_000])
 def test_quoted_values_of_any_length(quote, size):
