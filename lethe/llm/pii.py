@@ -48,10 +48,6 @@ SPELLED_PART = re.compile(r"plus|\+|dot|point|\.|[a-z]+|[0-9]", re.I)
 BRACKET = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot|@|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 #: Cheap signs that the transducers have anything to do; on lower-cased text.
 BRACKET_SIGN = re.compile(r"[\[({<][ \t]{0,3}(?:at|dot|@|\.)[ \t]{0,3}[\])}>]")
-RARE_DIGITS = tuple(w for w in DIGITS if w not in ("one", "oh"))
-_WORDS = "|".join(DIGITS)
-SPELLED_SIGN = re.compile(rf"(?:{_WORDS})\b[ \t,.-]{{1,3}}(?:(?:dot|point)[ \t]{{1,3}})?(?:{_WORDS}|[0-9])|[0-9][ \t,.-]{{1,3}}(?:(?:dot|point)[ \t]{{1,3}})?(?:{_WORDS})\b")
-ONE_SIGN = re.compile(r"one\b[ \t,.-]{1,3}(?:(?:dot|point)[ \t]{1,3})?(?:one|oh|[0-9])\b")
 #: Hosts whose signs are all bare words must end in one of these.
 COMMON_ENDS = frozenset("com org net edu gov mil int info biz io co dev app ai me tv de fr es uk us eu it nl ch at be pl pt se no fi dk ie ca au nz br mx ar in jp cn ru za example test".split())
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}|[ \t]{0,3}[\[({<][ \t]{0,3}dot)[A-Za-z\])}> \t])", re.I)
@@ -145,10 +141,13 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only show after normalising and aren't inside one of ``base``."""
     low = text.lower()
     glyphs = not text.isascii() and GLYPH.search(text)
-    signs = BRACKET_SIGN.search(low) or "dot" in low and BARE_DOT.search(text)
-    words = (SPELLED_SIGN if any(w in low for w in RARE_DIGITS) else ONE_SIGN).search(low)
-    if not (glyphs or signs or words):
-        return []
+    signs = BRACKET_SIGN.search(low) or "dot" in low and (BARE_DOT.search(text) or BARE_AT.search(text))
+    words = any(not m[0].isdigit() for m in SPELLED.finditer(text))
+    return chain(text, base, bool(glyphs)) if glyphs or signs or words else []
+
+
+def chain(text: str, base: list[Span], glyphs: bool = True) -> list[Span]:
+    """The transducers, and identifiers found behind them."""
     tape = Tape(text)
     if glyphs:
         tape.rewrite(GLYPH, lambda m: [(c, 0, 1) for c in GLYPHS.get(m[0], m[0])])

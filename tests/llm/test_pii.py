@@ -96,3 +96,15 @@ def test_query(spark):
         assert [r[f"n_{k}"] for k in PATTERNS] == [sum(x[0] == k for x in base) for k in PATTERNS]
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in pii.spans_of(text)[1])
+
+
+@pytest.mark.parametrize("text, seen", [("call +49 oh 1511 2345678 now", "+49 oh 1511 2345678"), ("card 4111 1111 1111 111 one", "4111 1111 1111 111 one"), ("card one 411111111111111", None), ("call plus 44 20 7946 0958", "plus 44 20 7946 0958")])
+def test_one_and_oh_are_digits(text, seen):
+    assert [text[a:b] for _, a, b in pii.disguised(text, pii.plain(text))] == ([seen] if seen else [])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(["one", "oh", "seven", "ſix", "fıve", "plus", "+", "point", "dot", "at", "[at]", " ", " ", "-", ".", ",", "4", "1111", "a", "b", "com", "０"]), max_size=40).map("".join) | st.text(max_size=40))
+def test_filter_misses_nothing(text):
+    base = pii.plain(text)
+    assert pii.disguised(text, base) == pii.chain(text, base)
