@@ -6,7 +6,8 @@ the source range it stands for: homoglyphs and full-width forms become ASCII and
 characters go; runs of spelled digits become digits; "at" and "dot" in words or brackets become
 signs.  Identifiers found there are mapped back to source ranges; those inside a plain one are not
 added.  Bare words become signs only in a chain of four digit words at least, or where an "at" is
-followed by a host with a spelled dot, so that prose stays prose.
+followed by a host with a spelled dot, so that prose stays prose.  An email disguised by bare words
+alone is refused unless its host ends in a top-level domain of the IANA list (``tlds.py``).
 
 Null counts as empty; rows without findings have empty lists; every row is judged alone, so repeated
 rows get equal results.  All patterns run in linear time on texts of any length.
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lethe.llm.tlds import TLDS
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -48,8 +51,8 @@ SPELLED_PART = re.compile(r"plus|\+|dot|point|\.|[a-z]+|[0-9]", re.I)
 BRACKET = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot|@|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 #: Cheap signs that the transducers have anything to do; on lower-cased text.
 BRACKET_SIGN = re.compile(r"[\[({<][ \t]{0,3}(?:at|dot|@|\.)[ \t]{0,3}[\])}>]")
-#: Hosts whose signs are all bare words must end in one of these.
-COMMON_ENDS = frozenset("com org net edu gov mil int info biz io co dev app ai me tv de fr es uk us eu it nl ch at be pl pt se no fi dk ie ca au nz br mx ar in jp cn ru za example test".split())
+#: Hosts whose signs are all bare words must end in a top-level domain, or one reserved for examples.
+ENDS = TLDS | {"example", "test"}
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}|[ \t]{0,3}[\[({<][ \t]{0,3}dot)[A-Za-z\])}> \t])", re.I)
 BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])", re.I)
 
@@ -160,7 +163,7 @@ def chain(text: str, base: list[Span], glyphs: bool = True) -> list[Span]:
         if kind == "email":
             end_label = tape.text[start:end].rpartition(".")[2]
             seen = text[tape.starts[start] : tape.ends[end - 1]]
-            if not (end_label.isalpha() and 2 <= len(end_label) <= 24) or not (BRACKET_SIGN.search(seen.lower()) or GLYPH.search(seen) or end_label.lower() in COMMON_ENDS):
+            if not (end_label.isalpha() and 2 <= len(end_label) <= 24) or not (BRACKET_SIGN.search(seen.lower()) or GLYPH.search(seen) or end_label.lower() in ENDS):
                 continue
         source = (kind, tape.starts[start], tape.ends[end - 1])
         gaps = any(tape.starts[i] != tape.ends[i - 1] for i in range(start + 1, end))

@@ -108,3 +108,10 @@ def test_one_and_oh_are_digits(text, seen):
 def test_filter_misses_nothing(text):
     base = pii.plain(text)
     assert pii.disguised(text, base) == pii.chain(text, base)
+
+
+@pytest.mark.parametrize("end", "cz gr xyz kr tr ro hu ua online site com example museum".split())
+def test_bare_words_with_any_top_level_domain(end):
+    text = f"write to anna at firma dot {end} today"
+    assert [text[a:b] for _, a, b in pii.disguised(text, [])] == [f"anna at firma dot {end}"]
+    assert pii.disguised("look at this dot notadomain", []) == []
