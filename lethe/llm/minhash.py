@@ -43,21 +43,16 @@ _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _POWERS = _RNG.integers(0, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def lower(text: bytes | None) -> bytes:
-    """A-Z in lower case, all else unchanged."""
-    return (text or b"").lower()
-
-
-def shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles of n words."""
-    found = [lower(t).split() for t in texts]
-    lengths = [len(x) for x in found]
-    flat = W.hashes([w for x in found for w in x])
+def shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of n words; A-Z count in lower case."""
+    found = W.cut(texts, lower=True)
+    flat = found.hashes()
     all_n = W.Windows(flat)(n) if len(flat) >= n else np.zeros(0, np.uint64)
     out, at = [], 0
-    for k in lengths:
+    for k in found.lengths.tolist():
         if k >= n:
-            out.append(np.unique(all_n[at : at + k - n + 1]))
+            own = np.sort(all_n[at : at + k - n + 1])
+            out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         elif k:
             out.append(np.array([xxhash.xxh64_intdigest(flat[at : at + k].tobytes(), seed=k)], np.uint64))
         else:
@@ -121,7 +116,7 @@ def _nodes(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
         for batch in batches:
             for a, b in W.slices(batch.column(2), 1 << 20):
                 rows = batch.slice(a, b - a)
-                sets = shingles(rows.column(2).cast(pa.binary()).to_pylist(), n)
+                sets = shingles(rows.column(2), n)
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 new: dict[bytes, int] = {}
                 for i, node in enumerate(nodes):
@@ -160,7 +155,7 @@ def _confirm(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataF
                 for side in (0, 1):
                     column = rows.column(2 + side)
                     missing.update((name, i_column) for i, name in enumerate(names[side]) if name not in known and name not in missing for i_column in [(column, i)])
-                sets = dict(zip(missing, shingles([c[i].as_py().encode() for c, i in missing.values()], n)))
+                sets = dict(zip(missing, shingles(pa.array([c[i].as_py() for c, i in missing.values()], pa.string()), n)))
                 keep = []
                 for x, y in zip(*names):
                     p, q = (sets[v] if v in sets else known[v] for v in (x, y))
@@ -247,7 +242,7 @@ def _links_inside(suspects: DataFrame, least: int, n: int, percent: int) -> Data
             p, q = _alike(block, least)
             if not len(p):
                 continue
-            sets = shingles([t.as_py().encode() for t in block.column(7)], n)
+            sets = shingles(block.column(7), n)
             sizes = np.array([len(x) for x in sets])
             ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])

@@ -70,10 +70,10 @@ def _runs(words: np.ndarray, lengths: np.ndarray, window: int, level: int, allow
     return hashes, text[starts[new]], starts[new], np.diff([*new, len(starts)]), anchor[new]
 
 
-def _split(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    found = [(t or b"").split() for t in texts.cast(pa.binary()).to_pylist()]
-    lengths = np.fromiter(map(len, found), np.int64, len(found))
-    return found, lengths, W.hashes([w for x in found for w in x])
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of each text, and hashes of all words."""
+    found = W.cut(texts)
+    return found.lengths, found.hashes()
 
 
 def _allowed(runs: pa.Array, lengths: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def _anchors(df: DataFrame, window: int, level: int, only_hash: bool) -> DataFra
         for batch in batches:
             for a, b in W.slices(batch.column(2)):
                 part = batch.slice(a, b - a)
-                _, lengths, words = _split(part.column(2))
+                lengths, words = _split(part.column(2))
                 hashes, text, start, n, anchor = _runs(words, lengths, window, level, _allowed(part.column(3), lengths) if limited else None)
                 if not len(text):
                     continue
@@ -118,7 +118,7 @@ def _full(df: DataFrame, window: int, level: int, with_windows: bool) -> DataFra
         for batch in batches:
             for a, b in W.slices(batch.column(2)):
                 part = batch.slice(a, b - a)
-                _, lengths, words = _split(part.column(2))
+                lengths, words = _split(part.column(2))
                 hashes, text, start, n, anchor = _runs(words, lengths, window, level, _allowed(part.column(3), lengths))
                 if not len(text):
                     continue
@@ -185,24 +185,26 @@ def _finish(df: DataFrame, window: int, digest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t1, t2, text, marks in zip(*(batch.column(i) for i in range(4))):
-                found = (text.as_py() or "").encode().split()
-                edge = np.zeros(len(found) + 1, np.int64)
-                for mark in marks.as_py():
-                    at = [mark["start"] + i for i in mark["inside"]] if mark["inside"] is not None else range(mark["start"], mark["start"] + mark["n"])
-                    np.add.at(edge, np.fromiter(at, np.int64), 1)
-                    np.add.at(edge, np.fromiter(at, np.int64) + window, -1)
+            for a, b in W.slices(batch.column(2)):
+                part = batch.slice(a, b - a)
+                found = W.cut(part.column(2))
+                first = np.concatenate([[0], np.cumsum(found.lengths)])
+                edge = np.zeros(first[-1] + 1, np.int64)
+                for at, marks in zip(first.tolist(), part.column(3)):
+                    for mark in marks.as_py():
+                        begins = at + mark["start"] + (np.array(mark["inside"], np.int64) if mark["inside"] is not None else np.arange(mark["n"]))
+                        np.add.at(edge, begins, 1)
+                        np.add.at(edge, begins + window, -1)
                 gone = np.cumsum(edge)[:-1] > 0
-                out.append((t1.as_py(), t2.as_py(), len(found), int(gone.sum()), _kept([w for w, g in zip(found, gone.tolist()) if not g], digest)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["t1", "t2", "n_words", "n_removed", "kept"])
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
+                kept = pa.array([_kept(x, digest) for x in found.joined(~gone)], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found.lengths), pa.array(removed), kept], ["t1", "t2", "n_words", "n_removed", "kept"])
 
     return df.mapInArrow(run, "t1 long, t2 long, n_words long, n_removed long, kept string").dropDuplicates(["t1", "t2"])
 
 
-def _kept(found: list[bytes], digest: bool) -> str:
-    joined = b" ".join(found)
-    return hashlib.sha256(joined).hexdigest() if digest else joined.decode()
+def _kept(joined: memoryview, digest: bool) -> str:
+    return hashlib.sha256(joined).hexdigest() if digest else str(joined, "utf-8")
 
 
 def _whole(df: DataFrame, keys: tuple[str, ...], digest: bool) -> DataFrame:
@@ -214,8 +216,8 @@ def _whole(df: DataFrame, keys: tuple[str, ...], digest: bool) -> DataFrame:
         for batch in batches:
             for a, b in W.slices(batch.column(last)):
                 part = batch.slice(a, b - a)
-                found = [(t or b"").split() for t in part.column(last).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array([len(x) for x in found], pa.int64()), pa.array([_kept(x, digest) for x in found], pa.string())], [f.name for f in schema])
+                found = W.cut(part.column(last))
+                yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(found.lengths), pa.array([_kept(x, digest) for x in found.joined()], pa.string())], [f.name for f in schema])
 
     return df.mapInArrow(run, schema)
 
