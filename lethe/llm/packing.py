@@ -157,8 +157,9 @@ def pack(df: DataFrame, vocabulary: str, *, text: str = "text", keys: tuple[str,
             kinds = [batch.column(k).type for k in range(len(keys))]
             texts, names = batch.column(len(keys)), [batch.column(k).to_pylist() for k in range(len(keys))]
             for a, b in slices(texts):
-                for i, ids in enumerate(model.encode_many(texts[a:b].to_pylist()), a):
-                    packer.add(tuple(x[i] for x in names), ids + stop)
+                ids, edges = model.encode_array(texts[a:b])
+                for i, (first, last) in enumerate(zip(edges.tolist(), edges[1:].tolist()), a):
+                    packer.add(tuple(x[i] for x in names), ids[first:last].astype("<u4").tobytes() + stop)
                 if packer.done:
                     yield rows(packer, kinds)
         packer.finish()

@@ -49,7 +49,7 @@ def judge(rows, want, capacity=1024):
 
 
 def encoded(text):
-    return bpe.load(queries.vocabulary()).encode_bytes(text) + bytes(4)
+    return bpe.load(queries.vocabulary()).encode(text).astype("<u4").tobytes() + bytes(4)
 
 
 def test_tables(spark):
