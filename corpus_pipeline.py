@@ -60,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = ""
     for name, stage in STAGES:
-        docs, new = scratch.write(stage(spark, docs, sf_dir), f"corpus-{name}")
+        with scratch.scope() as keep:  # what a stage's operator wrote goes once its rows are written
+            docs, new = scratch.write(stage(spark, docs, sf_dir), f"corpus-{name}")
+            keep.append(new)
         if path:
             scratch.drop(spark, path)
         path = new

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,11 +18,13 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and Spark runs in one process."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
+    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='lethe-shared-')}")
         root = sc.getCheckpointDir()
     return root.rstrip("/")
@@ -48,8 +52,22 @@ def table(df: DataFrame, label: str) -> DataFrame:
     return write(df, label)[0]
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Delete at the end every scratch path made inside but those put into the list; all of them after an error."""
+    before, keep = {path for _, path in _KEPT}, []
+    failed = True
+    try:
+        yield keep
+        failed = False
+    finally:
+        for spark, path in [x for x in _KEPT if x[1] not in before and (failed or x[1] not in keep)]:
+            drop(spark, path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no plan still to run reads."""
+    _KEPT[:] = [x for x in _KEPT if x[1] != path]
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
