@@ -52,9 +52,25 @@ def test_colliding_hashes_are_chained(spark, monkeypatch):
 
 def test_directory_doubles(spark):
     heads = spark.range(200).selectExpr("xxhash64(id) as hash", "100L as bytes").union(spark.range(50).selectExpr("7L as hash", "100L as bytes"))
-    first = exact.directory(heads, 1000)
+    buckets = exact.directory(heads, 1000)
+    first = [k for k, _ in buckets]
     assert first == sorted(set(first)) and first[0] == 0
     hashes = [r["hash"] % (1 << 64) for r in heads.collect()]
-    for low, high in zip(first, [*first[1:], 1 << 64]):
+    for (low, size), high in zip(buckets, [*first[1:], 1 << 64]):
         inside = [h for h in hashes if low <= h < high]
-        assert len(inside) * 100 <= 1000 or len(set(inside)) == 1
+        assert len(inside) * 100 == size and (size <= 1000 or len(set(inside)) == 1)
+
+
+def test_directory_of_thousands_of_buckets(spark, monkeypatch):
+    heads = spark.range(100000).selectExpr("xxhash64(id) as hash", "1000L as bytes")
+    buckets = exact.directory(heads, 20000)
+    assert 5000 < len(buckets) < 20000 and sum(n for _, n in buckets) == 10**8 and max(n for _, n in buckets) <= 20000
+    first = exact.owners(buckets, 100000)
+    sizes = [sum(n for k, n in buckets if low <= k < high) for low, high in zip(first.tolist(), [*first.tolist()[1:], 1 << 64])]
+    assert sum(sizes) == 10**8 and max(sizes) <= 100000 and len(sizes) < 2 * 10**8 / 100000
+    monkeypatch.setattr(exact, "MOST_BITS", 6)
+    assert len(exact.directory(heads, 20000)) <= 64
+
+
+def test_empty_directory(spark):
+    assert exact.directory(spark.range(0).selectExpr("id as hash", "id as bytes"), 10) == [(0, 0)]
