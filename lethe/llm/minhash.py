@@ -5,12 +5,14 @@
    kept, sixteen to a long.  Rows with equal digests are one node from here on.
 2. Candidates come from the buckets.  A pair's similarity is estimated from the number of equal
    four-bit groups (xor and bit counts), corrected for the sixteenth that agree by chance; pairs over
-   five standard deviations below the threshold are dropped, the others are confirmed on full sets.
+   ``deviations`` standard deviations below the threshold are dropped (infinity: none), the others are
+   confirmed on full sets.
 3. Only connections are needed, so a pair inside one component is never looked at.  First every node
-   meets its buckets' least nodes: the one with the best estimate, then the others.  Then buckets
-   that still hold several components are compared inside, in pairs of blocks of ``block`` nodes, by
-   signature and, for nodes with a partner left, on full sets; only links that join components come
-   out.  Buckets of copies of one text are one component by then; the others are compared whole.
+   meets its buckets' least nodes: the one with the best estimate, then the others; a least node's text
+   is sent once for each ``FANS`` nodes that meet it.  Then buckets that still hold several components
+   are compared inside, in pairs of blocks of about ``block`` nodes and ``BLOCK_BYTES`` of text: nodes
+   of the bucket's largest component against the others, and the others among themselves; by signature
+   and, for nodes with a partner left, on full sets.  Only links that join components come out.
 
 A pair at the threshold shares no bucket with probability (1 - t**rows)**bands: 3e-7 at 0.85 and
 6e-5 at 0.8.
@@ -36,7 +38,7 @@ from lethe.llm import words as W
 from lethe.plans import components, scratch
 
 BANDS, ROWS, BITS = 32, 6, 4
-BLOCK = 512
+BLOCK, BLOCK_BYTES, FANS = 256, 8 << 20, 256
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -90,11 +92,11 @@ def corrected(equal: float, of: int = BANDS * ROWS) -> float:
     return (equal / of - chance) / (1 - chance)
 
 
-def least_equal(threshold: float) -> int:
-    """Number of equal groups that a pair at the threshold has but for five standard deviations."""
+def least_equal(threshold: float, deviations: float = 5.0) -> int:
+    """Number of equal groups that a pair at the threshold has but for some standard deviations."""
     n, chance = BANDS * ROWS, 1 / (1 << BITS)
     p = threshold + (1 - threshold) * chance
-    return int(n * p - 5 * (n * p * (1 - p)) ** 0.5)
+    return max(0, int(max(0.0, n * p - deviations * (n * p * (1 - p)) ** 0.5)))
 
 
 def equal_groups(one: str, two: str) -> Column:
@@ -106,7 +108,8 @@ def equal_groups(one: str, two: str) -> Column:
 def _nodes(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
     """row, part, seq, id, size, node, buckets, bits, first; buckets and bits only where the task hasn't seen the set."""
     kind = df.schema[key].dataType
-    source = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    source = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"))
+    at_text, at_key = df.columns.index(text), df.columns.index(key)
     schema = T.StructType().add("row", source.schema["row"].dataType).add("part", "long").add("seq", "long").add("id", kind).add("size", "long")
     schema = schema.add("node", "binary").add("buckets", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType())).add("first", "boolean")
 
@@ -114,9 +117,9 @@ def _nodes(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
         part, seq = TaskContext.get().partitionId(), 0
         seen: set[bytes] = set()
         for batch in batches:
-            for a, b in W.slices(batch.column(2), 1 << 20):
-                rows = batch.slice(a, b - a)
-                sets = shingles(rows.column(2), n)
+            for a, b in W.slices(batch.column(0).field(at_text), 1 << 20):
+                rows = batch.column(0).slice(a, b - a)
+                sets = shingles(rows.field(at_text), n)
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 new: dict[bytes, int] = {}
                 for i, node in enumerate(nodes):
@@ -132,7 +135,7 @@ def _nodes(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
                     of_buckets, of_bits = signatures([sets[i] for i in new.values()])
                     for k, i in enumerate(new.values()):
                         firsts[i], buckets[i], bits[i] = True, of_buckets[k], of_bits[k]
-                columns = [rows.column(0), pa.array([part] * len(sets), pa.int64()), pa.array(range(seq, seq + len(sets)), pa.int64()), rows.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary())]
+                columns = [rows, pa.array([part] * len(sets), pa.int64()), pa.array(range(seq, seq + len(sets)), pa.int64()), rows.field(at_key), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary())]
                 seq += len(sets)
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(buckets, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(firsts, pa.bool_())], [f.name for f in schema])
 
@@ -140,31 +143,33 @@ def _nodes(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
-    two = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b")
+    """The pairs (a, b) whose full sets are similar enough; many a may have one b.
+
+    The pairs of one b are dealt over groups of ``FANS``; in each, b's row comes first and the others stream past it.
+    """
+    pairs = scratch.table(pairs.select("a", "b"), "near-pairs")
+    groups = scratch.table(pairs.groupBy("b").agg(F.ceil(F.count("*") / FANS).cast("int").alias("groups")), "near-groups")
+    fans = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), "groups").cast("int").alias("g"), F.lit(1).alias("side"), F.col("a").alias("node"))
+    heads = groups.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("side"), F.col("b").alias("node"))
+    rows = fans.unionByName(heads).join(bodies, "node").select("b", "g", "side", "node", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
+        one = np.zeros(0, np.uint64)
         for batch in batches:
-            for a, b in W.slices(batch.column(2)):
+            for a, b in W.slices(batch.column(4)):
                 rows = batch.slice(a, b - a)
-                names = [rows.column(i).to_pylist() for i in (0, 1)]
-                missing: dict[bytes, bytes] = {}
-                for side in (0, 1):
-                    column = rows.column(2 + side)
-                    missing.update((name, i_column) for i, name in enumerate(names[side]) if name not in known and name not in missing for i_column in [(column, i)])
-                sets = dict(zip(missing, shingles(pa.array([c[i].as_py() for c, i in missing.values()], pa.string()), n)))
                 keep = []
-                for x, y in zip(*names):
-                    p, q = (sets[v] if v in sets else known[v] for v in (x, y))
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(p) + len(q) - common))
-                known = {y: sets[y] if y in sets else known[y] for y in names[1][-8:]}
-                yield rows.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                for side, two in zip(rows.column(2).to_pylist(), shingles(rows.column(4), n)):
+                    if side == 0:
+                        one = two
+                        keep.append(False)
+                        continue
+                    common = np.count_nonzero(one[np.minimum(np.searchsorted(one, two), len(one) - 1)] == two)
+                    keep.append(100 * common >= percent * (len(one) + len(two) - common))
+                found = rows.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([found.column(3), found.column(0)], ["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return rows.repartition("b", "g").sortWithinPartitions("b", "g", "side").mapInArrow(run, "a binary, b binary")
 
 
 BLOCK_ROWS = "k long, g long, side int, node binary, comp binary, bits array<long>, buckets array<long>"
@@ -285,6 +290,7 @@ class Graph:
     def __init__(self, spark) -> None:
         self.spark = spark
         self.labels: DataFrame | None = None
+        self.path: str | None = None
 
     def label(self, df: DataFrame, column: str, name: str) -> DataFrame:
         if self.labels is None:
@@ -305,16 +311,46 @@ class Graph:
         if self.labels is not None:
             old = self.labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("__new")), "label", "left").select("node", F.coalesce("__new", "label").alias("label"))
             merged = old.union(merged)
-        self.labels = scratch.table(merged, "near-labels")
+        self.labels, self.path = scratch.write(merged, "near-labels")
 
 
-def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def _dealt(inside: DataFrame, bits: DataFrame, block: int) -> DataFrame:
+    """``BLOCK_ROWS`` of the buckets (k, node, comp) with several components, dealt to pairs of blocks.
+
+    Blocks of a bucket's largest component (side 0, g < 0) meet each block of the others; those meet one another.
+    """
+    parts = inside.join(bits.select("node", "at.bytes"), "node").groupBy("k", "comp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = parts.groupBy("k").agg(F.max_by(F.struct("comp", "n", "bytes"), F.struct("n", "comp")).alias("big"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("comps"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / block, size / BLOCK_BYTES)).cast("int")
+    mixed = whole.where("comps > 1").select("k", F.col("big.comp").alias("big"), blocks(F.col("big.n"), F.col("big.bytes")).alias("bigs"), blocks(F.col("n") - F.col("big.n"), F.col("bytes") - F.col("big.bytes")).alias("rest"))
+    rows = inside.join(scratch.table(mixed, "near-mixed"), "k").join(bits.select("node", "bits", "buckets"), "node")
+    is_big = F.col("comp") == F.col("big")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(is_big, F.col("bigs")).otherwise(F.col("rest"))).cast("long"))
+    wide, own = 1 << 31, F.col("own")
+    meets = lambda big, other: -1 - (big * wide + other)
+    place = lambda g, side: F.struct(g.cast("long").alias("g"), side.cast("int").alias("side"))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
+    of_big = F.transform(each("rest"), lambda x: place(meets(own, x), F.lit(0)))
+    of_rest = F.concat(F.transform(each("rest"), lambda x: place(F.least(own, x) * wide + F.greatest(own, x), own > x)), F.transform(each("bigs"), lambda x: place(meets(x, own), F.lit(1))))
+    rows = rows.select("k", F.explode(F.when(is_big, of_big).otherwise(of_rest)).alias("at"), "node", "comp", "bits", "buckets")
+    return rows.select("k", "at.g", "at.side", "node", "comp", "bits", "buckets")
+
+
+def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80, block: int = BLOCK, deviations: float = 5.0) -> DataFrame:
     """row (all columns), part, seq, id, size and label (of its component; null for empty sets)."""
-    spark = df.sparkSession
-    records = scratch.table(_nodes(df, text, key, n), "near-records")
-    firsts = records.where("first")
-    nodes = scratch.table(firsts.groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("bits").alias("bits"), F.min(F.struct("part", "seq")).alias("at")), "near-nodes")
-    least = least_equal(percent / 100)
+    graph = Graph(df.sparkSession)
+    with scratch.scope() as keep:
+        records, path = scratch.write(_nodes(df, text, key, n), "near-records")
+        keep.append(path)
+        _link(graph, records, text, n, percent, block, least_equal(percent / 100, deviations))
+        keep += [graph.path] if graph.path else []
+    return graph.label(records.select("row", "part", "seq", "id", "size", "node"), "node", "label").drop("node")
+
+
+def _link(graph: Graph, records: DataFrame, text: str, n: int, percent: int, block: int, least: int) -> None:
+    """Put all links between the records' nodes into the graph."""
+    place = F.struct("part", "seq", F.octet_length(f"row.`{text}`").alias("bytes"))
+    nodes = scratch.table(records.where("first").groupBy("node").agg(F.first("buckets").alias("buckets"), F.first("bits").alias("bits"), F.min(place).alias("at")), "near-nodes")
     members = nodes.select("node", F.explode("buckets").alias("k"))
     # what is counted by key is written before it is joined to that key's rows, so a hot key's rows can be split
     several = scratch.table(members.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1"), "near-several")
@@ -327,7 +363,6 @@ def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int =
     # texts of all nodes that share a bucket, from the first row of each
     wanted = bits.select("node", "at.part", "at.seq")
     bodies = scratch.table(records.select("part", "seq", F.col(f"row.`{text}`").alias("body")).join(wanted, ["part", "seq"]).select("node", "body"), "near-bodies")
-    graph = Graph(spark)
 
     def add(links: DataFrame) -> None:
         found = scratch.table(links, "near-links")
@@ -337,30 +372,23 @@ def cluster(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int =
     best = star.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b")).select("a", "b")
     add(_confirm(best, bodies, n, percent))
     add(_confirm(graph.across(star.join(best, ["a", "b"], "left_anti").select("a", "b")), bodies, n, percent))
-    inside = graph.label(shared.where("m > 2").select("k", "node", "m"), "node", "comp")
-    mixed = scratch.table(inside.groupBy("k").agg((F.min("comp") != F.max("comp")).alias("mixed")).where("mixed").select("k"), "near-mixed")
-    rows = inside.join(mixed, "k", "left_semi").join(bits.select("node", "bits", "buckets"), "node")
-    blocks = F.ceil(F.col("m") / block).cast("int")
-    rows = rows.select("k", "node", "comp", "bits", "buckets", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    pair = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
-    rows = rows.select("k", pair.alias("g"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "bits", "buckets")
+    rows = _dealt(graph.label(shared.where("m > 2").select("k", "node"), "node", "comp"), bits, block)
     suspects = scratch.table(_suspects(rows.repartition("k", "g").sortWithinPartitions("k", "g"), least), "near-suspects")
     add(_links_inside(suspects.join(bodies, "node").select("k", "g", "side", "node", "comp", "bits", "buckets", "body").repartition("k", "g").sortWithinPartitions("k", "g"), least, n, percent))
-    return graph.label(records.select("row", "part", "seq", "id", "size", "node"), "node", "label").drop("node")
 
 
-def dedup(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
+def dedup(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80, deviations: float = 5.0) -> DataFrame:
     """One row for each input row: ``key``, n_shingles, component_id, kept."""
-    rows = cluster(df, text=text, key=key, n=n, percent=percent).select("id", "size", "label")
+    rows = cluster(df, text=text, key=key, n=n, percent=percent, deviations=deviations).select("id", "size", "label")
     least = scratch.table(rows.where("label is not null").groupBy("label").agg(F.min("id").alias("component")), "near-least")
     out = rows.join(least, "label", "left")
     component = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(key), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.col("id").isNull() & component.isNull()).alias("kept"))
 
 
-def keep_first(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
+def keep_first(df: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = 5, percent: int = 80, deviations: float = 5.0) -> DataFrame:
     """All columns of one row of each component, the one with the least id, and of rows without words."""
-    rows = cluster(df, text=text, key=key, n=n, percent=percent)
+    rows = cluster(df, text=text, key=key, n=n, percent=percent, deviations=deviations)
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("part"), F.col("seq"))
     least = rows.where("label is not null").groupBy("label").agg(F.min(place).alias("at")).select("at.part", "at.seq")
     alone = rows.where("label is null").select("part", "seq")
