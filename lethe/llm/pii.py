@@ -4,10 +4,14 @@ Plain emails, IPv4 addresses, card and phone numbers are found in the text itsel
 are found in a normalised text.  A chain of transducers makes it, each keeping for every character
 the source range it stands for: homoglyphs and full-width forms become ASCII and zero-width
 characters go; runs of spelled digits become digits; "at" and "dot" in words or brackets become
-signs.  Identifiers found there are mapped back to source ranges; those inside a plain one are not
-added.  Bare words become signs only in a chain of four digit words at least, or where an "at" is
-followed by a host with a spelled dot, so that prose stays prose.  An email disguised by bare words
-alone is refused unless its host ends in a top-level domain of the IANA list (``tlds.py``).
+signs.  Names of digits and signs are English, German, French and Spanish.  Identifiers found there
+are mapped back to source ranges; those inside a plain one are not added.
+
+Bare words become signs only in a chain of four digit words or numerals at least, or where an "at" is
+followed by a host with a spelled dot, so that prose stays prose.  Blanks around words and brackets are
+unlimited; between two numerals, three at most count as one number's.  An email disguised by bare words
+alone is refused unless its host ends in a top-level domain of the IANA list (``tlds.py``), and a
+disguised card or phone number unless it has two different digits.
 
 Null counts as empty; rows without findings have empty lists; every row is judged alone, so repeated
 rows get equal results.  All patterns run in linear time on texts of any length.
@@ -43,18 +47,38 @@ GLYPHS = LOOKALIKE | FULL | MATH | dict.fromkeys(ZERO_WIDTH, "")
 #: Ranges that hold all of them: a short class is searched fast.
 GLYPH = re.compile("[\u00ad\u0370-\u052f\u200b-\u2011\u2024\u2060\u2080-\u2089\u2460-\u2468\u3002\ufe52\ufeff-\uff5e\U0001d400-\U0001d7ff]")
 
-DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_NUM = rf"(?:{'|'.join(DIGITS)}|[0-9])"
-_GAP = r"(?:[ \t,-]{1,3}(?:(?:dot|point)[ \t]{1,3})?|[ \t]?\.[ \t]?)"
-SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ \t-]{{1,3}}|\+[ \t]?)?{_NUM}(?![A-Za-z])(?:{_GAP}?{_NUM}(?![A-Za-z])){{3,}}", re.I)
-SPELLED_PART = re.compile(r"plus|\+|dot|point|\.|[a-z]+|[0-9]", re.I)
-BRACKET = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot|@|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
+# The digits from 0 to 9 by their names, and the names of the signs, in the corpus's languages.
+DIGIT_NAMES = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+DIGITS = {w: str(i) for names in DIGIT_NAMES for i, w in enumerate(names.split())} | {"oh": "0", "zwo": "2", "fuenf": "5"}
+SIGNS = {"plus": "+", "más": "+", "dot": ".", "punkt": ".", "point": ".", "punto": "."}
+#: Letters that patterns take for others in any case.
+_CASE = str.maketrans("ıİſK", "iisk")
+_DOT, _AT = "(?:dot|punkt|point|punto)", "(?:at|arroba|arobase)"
+_NUM = rf"(?:{'|'.join(sorted(DIGITS, key=len, reverse=True))}|[0-9])(?![^\W\d_])"
+#: Blanks are unlimited next to a word; between two numerals they are few, so that columns of numbers stay apart.
+_GAP = rf"(?:(?:[ \t,-]{{1,3}}|(?<=[^\W\d_])[ \t]++|[ \t]++(?=[^\W\d_]))(?:{_DOT}[ \t]++)?|[ \t]?\.[ \t]?)"
+SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|más)[ \t-]++|\+[ \t]?)?{_NUM}(?:{_GAP}?{_NUM}){{3,}}", re.I)
+SPELLED_PART = re.compile(r"\+|\.|[^\W\d_]+|[0-9]")
+#: A sign in brackets and the blanks around it; a match begins where the blanks do, so time stays linear.
+BRACKET = re.compile(rf"(?<![ \t])[ \t]*+[\[({{<][ \t]*+({_AT}|{_DOT}|@|\.)[ \t]*+[\])}}>][ \t]*+", re.I)
 #: Cheap signs that the transducers have anything to do; on lower-cased text.
-BRACKET_SIGN = re.compile(r"[\[({<][ \t]{0,3}(?:at|dot|@|\.)[ \t]{0,3}[\])}>]")
+BRACKET_SIGN = re.compile(rf"[\[({{<][ \t]*+(?:{_AT}|{_DOT}|@|\.)[ \t]*+[\])}}>]")
 #: Hosts whose signs are all bare words must end in a top-level domain, or one reserved for examples.
 ENDS = TLDS | {"example", "test"}
-BARE_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[A-Za-z0-9-]{1,63}(?:[ \t]{1,3}dot[ \t]{1,3}|[ \t]{0,3}[\[({<][ \t]{0,3}dot)[A-Za-z\])}> \t])", re.I)
-BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])", re.I)
+#: "At" before a host with a spelled dot; "point" and "punto" are too common after an English "at".
+BARE_AT = re.compile(
+    rf"(?<=[A-Za-z0-9])[ \t]++(?:at[ \t]++(?=[A-Za-z0-9-]{{1,63}}(?:[ \t]++(?:dot|punkt)[ \t]++|[ \t]*+[\[({{<][ \t]*+{_DOT})[A-Za-z\])}}> \t])|(?:arroba|arobase)[ \t]++(?=[A-Za-z0-9-]{{1,63}}(?:[ \t]++{_DOT}[ \t]|[ \t]*+[\[({{<][ \t]*+{_DOT}|\.[A-Za-z])))",
+    re.I,
+)
+BARE_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]++dot[ \t]++(?=[A-Za-z0-9])", re.I)
+#: A host with dots in other languages; they are words of prose too, so only those after a spelled "at" count.
+BARE_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?:[ \t]++(?:punkt|point|punto)[ \t]++[A-Za-z0-9-]+)+", re.I)
+BARE_HOST_PART = re.compile(r"[ \t]+(?:punkt|point|punto)[ \t]+|[^ \t]", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -131,20 +155,30 @@ class Tape:
 
 def _spelled(m: re.Match):
     for p in SPELLED_PART.finditer(m[0]):
-        word = p[0].lower()
-        sign = DIGITS.get(word) or {"plus": "+", "dot": ".", "point": "."}.get(word, word)
-        yield sign, p.start(), p.end()
+        word = p[0].translate(_CASE).lower()
+        sign = DIGITS.get(word) or SIGNS.get(word)
+        if sign or len(word) == 1:
+            yield sign or word, p.start(), p.end()
 
 
 def _sign(m: re.Match):
-    yield "@" if m[1].lower() in ("at", "@") else ".", 0, len(m[0])
+    yield "@" if m[1].lower() in ("at", "arroba", "arobase", "@") else ".", 0, len(m[0])
+
+
+def _host(tape: Tape):
+    def to(m: re.Match):
+        spelled = tape.changed[m.start()]
+        for p in BARE_HOST_PART.finditer(m[0]) if spelled else re.finditer("(?s).", m[0]):
+            yield "." if spelled and len(p[0]) > 1 else p[0], p.start(), p.end()
+
+    return to
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that only show after normalising and aren't inside one of ``base``."""
     low = text.lower()
     glyphs = not text.isascii() and GLYPH.search(text)
-    signs = BRACKET_SIGN.search(low) or "dot" in low and (BARE_DOT.search(text) or BARE_AT.search(text))
+    signs = BRACKET_SIGN.search(low) or any(w in low for w in ("dot", "pun", "po", "arr", "aro")) and (BARE_DOT.search(text) or BARE_AT.search(text))
     words = any(not m[0].isdigit() for m in SPELLED.finditer(text))
     return chain(text, base, bool(glyphs)) if glyphs or signs or words else []
 
@@ -158,6 +192,7 @@ def chain(text: str, base: list[Span], glyphs: bool = True) -> list[Span]:
     tape.rewrite(BARE_AT, lambda m: [("@", 0, len(m[0]))])
     tape.rewrite(BRACKET, _sign)
     tape.rewrite(BARE_DOT, lambda m: [(".", 0, len(m[0]))])
+    tape.rewrite(BARE_HOST, _host(tape))
     found = []
     for kind, start, end in plain(tape.text):
         if kind == "email":
@@ -165,6 +200,8 @@ def chain(text: str, base: list[Span], glyphs: bool = True) -> list[Span]:
             seen = text[tape.starts[start] : tape.ends[end - 1]]
             if not (end_label.isalpha() and 2 <= len(end_label) <= 24) or not (BRACKET_SIGN.search(seen.lower()) or GLYPH.search(seen) or end_label.lower() in ENDS):
                 continue
+        elif kind != "ip" and len(set(DIGIT.findall(tape.text[start:end]))) == 1:
+            continue  # a word such as "null" over and over
         source = (kind, tape.starts[start], tape.ends[end - 1])
         gaps = any(tape.starts[i] != tape.ends[i - 1] for i in range(start + 1, end))
         if (gaps or any(tape.changed[start:end])) and not any(s <= source[1] and source[2] <= e for _, s, e in base):
