@@ -38,7 +38,7 @@ from lethe.llm import words as W
 from lethe.plans import components, scratch
 
 BANDS, ROWS, BITS = 32, 6, 4
-BLOCK, BLOCK_BYTES, FANS = 256, 8 << 20, 256
+BLOCK, BLOCK_BYTES, FANS = 256, 8 << 20, 32
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
