@@ -85,3 +85,15 @@ def _random_keys(rows: pd.Series) -> pd.Series:
 def random_key() -> Column:
     """A 256-bit key from the system's secure source; write it before it is used twice."""
     return F.pandas_udf(_random_keys, T.BinaryType()).asNondeterministic()(F.lit(1))
+
+
+def ephemeral_key() -> Column:
+    """A 256-bit key that lives in this process and its tasks alone: it stands in no plan and in no file."""
+    import secrets
+
+    key = secrets.token_bytes(32)
+
+    def same(rows: pd.Series) -> pd.Series:
+        return pd.Series([key] * len(rows))
+
+    return F.pandas_udf(same, T.BinaryType())(F.lit(1))

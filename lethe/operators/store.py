@@ -4,6 +4,10 @@ Recipes and encrypted chunks are only ever appended.  Data keys exist only wrapp
 keys; wraps, keys and fingerprints live in tables whose old files are deleted on every change, so
 erasing a subject makes their chunks unreadable while the chunk log stays as it is.
 
+What an ingest or an erasure writes to scratch tables is encrypted with a key that only this process
+has, and is deleted at the end, after an error too.  Wraps and keys are appended; only an erasure
+rewrites them.  One writer at a time: a change on top of another's raises RuntimeError.
+
 Choices where the specification and older behaviour differ: pins are derived from live holds at any
 time, so a recipe ingested after a hold is pinned too; a hold id is used once; with ``spec_holds``
 another person's hold also defers what would destroy the held file; a second erasure redacts the
@@ -16,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as Win
@@ -27,16 +32,25 @@ from lethe.sources.tables import Tables
 Redactor = Callable[[Column, Column], Column]
 
 
+def of_bytes(function: Callable[[bytes, str], bytes]) -> Callable[[bytes, str], bytes]:
+    """Mark a plain function of a file's bytes and a subject as a redactor."""
+    function.of_bytes = True
+    return function
+
+
 @dataclass(frozen=True)
 class StoreConfig:
     wrap_mode: str = "or-wrap"
     mixed_policy: str = "never-share"
-    redactor: Redactor | None = None
+    redactor: Redactor | Callable[[bytes, str], bytes] | None = None
     spec_holds: bool = True
+    #: Mixed files that an erasure copies out or drops: ``all`` of other subjects, or those ``touching`` a chunk of the subject's.
+    scope: str = "all"
 
     def __post_init__(self) -> None:
         C.one_of(self.wrap_mode, C.WRAP_MODES, "wrap_mode")
         C.one_of(self.mixed_policy, C.MIXED_POLICIES, "mixed_policy")
+        C.one_of(self.scope, ("all", "touching"), "scope")
 
 
 class Store:
@@ -68,53 +82,64 @@ class Store:
     def ingest(self, rows: DataFrame, *, state: dict | None = None) -> None:
         """Append files (seq, subject, snapshot_id, path, data, file_class); seq gives their order.
 
-        Raises ValueError, with nothing written, if a class is unknown, a unique file is somebody
-        else's too, or a subject's erasure is pending.
+        Raises ValueError, with nothing written, if a class is unknown, a seq is null or repeated, a
+        unique file is somebody else's too, or a subject's erasure is pending.
         """
+        with scratch.scope(), self.tables.staging():
+            self._ingest(rows, state)
+
+    def _ingest(self, rows: DataFrame, state: dict | None) -> None:
         unknown = rows.where(~F.coalesce(F.col("file_class").isin(*C.CLASSES), F.lit(False))).select("file_class").first()
         if unknown:
             raise ValueError(f"file_class must be one of {', '.join(C.CLASSES)}, not {unknown[0]!r}")
         if waits := rows.join(self.tables.read("pending"), "subject", "left_semi").select("subject").first():
             raise ValueError(f"the erasure of {waits[0]!r} is pending")
+        if twice := rows.groupBy("seq").count().where("count > 1 or seq is null").select("seq").first():
+            raise ValueError(f"seq must be unique, {twice[0]} isn't")
         share = C.shares("file_class", self.config.wrap_mode, self.config.mixed_policy)
         base = self.tables.state.get("next_recipe", 0)
-        cut = rows.withColumn("recipe_id", F.col("seq") + base).withColumn("share", share)
-        cut = cut.select("*", F.posexplode(C.pieces("data")).alias("pos", "piece")).withColumn("fp", C.fingerprint("piece")).drop("data")
-        chunks, path = scratch.write(cut, "ingest-chunks")
+        key = C.ephemeral_key()
+        chunks = self._pieces(rows.withColumn("recipe_id", F.col("seq") + base).withColumn("share", share), key)
         if lied := self.conflicts(chunks.select("seq", "subject", "path", "file_class", "fp")).orderBy("seq").first():
-            scratch.drop(self.spark, path)
             raise ValueError(f"unique label conflict: {lied['path']!r} holds content of another subject")
-        placed, new, wraps, keys, done = self._place(chunks)
+        placed, new, wraps, keys = self._place(chunks, key)
         body = placed.groupBy("recipe_id", "subject", "snapshot_id", "path", "file_class").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"), F.sum("n").cast("long").alias("n_bytes"))
         flags = body.select("recipe_id", F.lit(False).alias("erased"), F.lit(False).alias("unrestorable"))
         t = self.tables
-        append = {"recipes": t.stage("recipes", body), "recipe_flags": t.stage("recipe_flags", flags), "chunk_log": t.stage("chunk_log", new), "fp_index": t.stage("fp_index", new)}
+        append = {"recipes": t.stage("recipes", body), "recipe_flags": t.stage("recipe_flags", flags), "chunk_log": t.stage("chunk_log", new), "fp_index": t.stage("fp_index", new), "wraps": t.stage("wraps", wraps), "subject_keys": keys}
         top = chunks.agg(F.max("recipe_id")).first()[0]
-        t.commit(append=append, replace={"wraps": t.stage("wraps", wraps), "subject_keys": t.stage("subject_keys", keys)}, state={"next_recipe": base if top is None else top + 1} | (state or {}))
-        for p in (path, *done):
-            scratch.drop(self.spark, p)
+        t.commit(append=append, state={"next_recipe": base if top is None else top + 1} | (state or {}))
+
+    def _pieces(self, rows: DataFrame, key: Column) -> DataFrame:
+        """One written row for each piece of ``data``, sealed with ``key``, with its position, fingerprint and length n."""
+        cut = rows.select("*", F.posexplode(C.pieces("data")).alias("pos", "plain")).withColumn("key", key)
+        cut = cut.select("*", C.fingerprint("plain").alias("fp"), F.octet_length("plain").cast("long").alias("n"), F.aes_encrypt("plain", "key").alias("piece"))
+        return scratch.table(cut.drop("data", "plain", "key"), "sealed-chunks")
 
-    def _place(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[str]]:
-        """Chunks with their ids; new chunks; all wraps; all keys; scratch tables to drop."""
+    def _place(self, chunks: DataFrame, key: Column) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+        """Chunks with their ids; new chunks; new wraps; the staged file of new subjects' keys."""
         t = self.tables
         live = self._live_wraps()
         usable = t.read("fp_index").join(live.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("fp", "file_class").agg(F.min("chunk_id").alias("old_id"))
         keyed = chunks.join(usable, ["fp", "file_class"], "left").withColumn("old_id", F.when(F.col("share"), F.col("old_id")))
         keyed = keyed.withColumn("own", F.when(~F.col("share"), F.concat_ws(":", F.col("recipe_id").cast("string"), F.col("pos").cast("string"))).otherwise(F.lit("")))
-        fresh = keyed.where("old_id is null").groupBy("fp", "file_class", "own").agg(F.min(F.struct("recipe_id", "pos")).alias("at"), F.first("piece").alias("piece"))
-        # ids and data keys are random: written before they are used twice, and deleted once wrapped
-        made, made_path = scratch.write(fresh.select("fp", "file_class", "own", "piece", F.uuid().alias("chunk_id"), C.random_key().alias("dek")), "ingest-new")
-        new = made.select("chunk_id", F.aes_encrypt("piece", "dek").alias("payload"), F.octet_length("piece").cast("long").alias("n_bytes"), "file_class", "fp")
+        fresh = keyed.where("old_id is null").groupBy("fp", "file_class", "own").agg(F.first("piece").alias("piece"), F.first("n").alias("n"))
+        # ids and data keys are random, so they are written before they are used twice, the keys sealed
+        fresh = fresh.select("*", F.uuid().alias("chunk_id"), C.random_key().alias("dek"), key.alias("key"))
+        made = scratch.table(fresh.select("fp", "file_class", "own", "piece", "n", "chunk_id", F.aes_encrypt("dek", "key").alias("dek")), "sealed-new")
+        opened = made.withColumn("key", key).withColumn("dek", F.aes_decrypt("dek", "key"))
+        new = opened.select("chunk_id", F.aes_encrypt(F.aes_decrypt("piece", "key"), "dek").alias("payload"), F.col("n").alias("n_bytes"), "file_class", "fp")
         placed = keyed.join(made.select("fp", "file_class", "own", "chunk_id"), ["fp", "file_class", "own"], "left").withColumn("chunk_id", F.coalesce("old_id", "chunk_id"))
-        placed = placed.select("recipe_id", "subject", "snapshot_id", "path", "file_class", "pos", "chunk_id", F.octet_length("piece").alias("n"))
+        placed = placed.select("recipe_id", "subject", "snapshot_id", "path", "file_class", "pos", "chunk_id", "n")
         known = t.read("subject_keys").where("key is not null")
         missing = chunks.select("subject").distinct().join(known, "subject", "left_anti")
-        keys, keys_path = scratch.write(known.union(missing.select("subject", C.random_key().alias("key"))).union(t.read("subject_keys").where("key is null").join(missing, "subject", "left_anti")), "ingest-keys")
+        staged = t.stage("subject_keys", missing.select("subject", C.random_key().alias("key")))
+        keys = known.union(t.read_file("subject_keys", staged))
         wanted = placed.select("chunk_id", "subject").distinct().join(t.read("wraps"), ["chunk_id", "subject"], "left_anti")
-        opened = live.withColumn("dek", F.expr("try_aes_decrypt(wrapped, key)")).where("dek is not null").groupBy("chunk_id").agg(F.min("dek").alias("dek"))
-        deks = made.select("chunk_id", "dek").union(opened.select("chunk_id", "dek"))
-        wrapped = wanted.join(deks, "chunk_id").join(keys.where("key is not null"), "subject").select("chunk_id", "subject", F.aes_encrypt("dek", "key").alias("wrapped"))
-        return placed, new, t.read("wraps").unionByName(wrapped), keys, [made_path, keys_path]
+        old = wanted.select("chunk_id").distinct().join(live, "chunk_id").withColumn("dek", F.expr("try_aes_decrypt(wrapped, key)")).where("dek is not null").groupBy("chunk_id").agg(F.min("dek").alias("dek"))
+        deks = opened.select("chunk_id", "dek").union(old.select("chunk_id", "dek"))
+        wrapped = wanted.join(deks, "chunk_id").join(keys, "subject").select("chunk_id", "subject", F.aes_encrypt("dek", "key").alias("wrapped"))
+        return placed, new, wrapped, staged
 
     def _live_wraps(self) -> DataFrame:
         """Wraps whose owner's key is there, with the key."""
@@ -124,12 +149,15 @@ class Store:
 
     def _assembled(self, wanted: DataFrame) -> DataFrame:
         """recipe_id and data (null if any chunk can't be read) of (recipe_id, subject, chunk_ids)."""
+        plain = self._opened(wanted).join(self.tables.read("chunk_log").select("chunk_id", "payload"), "chunk_id", "left").withColumn("plain", F.expr("try_aes_decrypt(payload, dek)"))
+        whole = plain.groupBy("recipe_id").agg(F.expr("listagg(plain) within group (order by pos)").alias("data"), (F.count("plain") == F.count("*")).alias("all"))
+        return whole.select("recipe_id", F.when(F.col("all"), F.col("data")).alias("data"))
+
+    def _opened(self, wanted: DataFrame) -> DataFrame:
+        """recipe_id, pos, chunk_id and data key (null if lost) of each chunk of (recipe_id, subject, chunk_ids); no payload is read."""
         chunks = wanted.select("recipe_id", "subject", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
-        opened = chunks.join(self._live_wraps(), ["chunk_id", "subject"], "left").join(self.tables.read("chunk_log").select("chunk_id", "payload"), "chunk_id", "left")
-        plain = opened.withColumn("plain", F.expr("try_aes_decrypt(payload, try_aes_decrypt(wrapped, key))"))
-        parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "plain"))), lambda x: x["plain"])
-        whole = plain.groupBy("recipe_id").agg(parts.alias("parts"), (F.count("plain") == F.count("*")).alias("all"))
-        return whole.select("recipe_id", F.when(F.col("all"), F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x))).alias("data"))
+        keyed = chunks.join(self._live_wraps(), ["chunk_id", "subject"], "left")
+        return keyed.select("recipe_id", "pos", "chunk_id", F.expr("try_aes_decrypt(wrapped, key)").alias("dek"))
 
     def files(self, subject: str | None = None, snapshot_id: str | None = None) -> DataFrame:
         """The last file of each path: subject, snapshot_id, path, data, ok, unrestorable, contains_erased_subject, reason, flagged.
@@ -147,14 +175,20 @@ class Store:
         rows = rows.join(pending, F.col("subject") == F.col("waits"), "left").withColumn("held", F.coalesce("held", F.lit(False)))
         reason = F.when(F.col("copy_ids").isNotNull(), "copy-out").when(F.col("erased") & ~F.col("held"), "recipe-erased").when(F.col("unrestorable"), "immutable-mixed").otherwise("")
         rows = rows.withColumn("reason", reason).withColumn("chunk_ids", F.when(F.col("reason") == "copy-out", F.col("copy_ids")).when(F.col("reason") == "", F.col("chunk_ids")))
-        data = self._assembled(rows.where("chunk_ids is not null").select("recipe_id", "subject", "chunk_ids"))
-        any_pending = F.lit(not t.read("pending").isEmpty())
-        rows = rows.join(data, "recipe_id", "left").withColumn("contains_erased_subject", (F.col("reason") == "") & F.col("data").isNotNull() & (F.col("waits").isNotNull() | any_pending & (F.col("file_class") == "mixed")))
-        rows = rows.withColumn("reason", F.when((F.col("reason") == "") & F.col("data").isNull(), "missing-key").otherwise(F.col("reason")))
+        waiting = not t.read("pending").isEmpty()
+        carries = (F.col("reason") == "") & (F.col("waits").isNotNull() | F.lit(waiting) & (F.col("file_class") == "mixed"))
         one = Win.partitionBy("subject", "snapshot_id", "path").orderBy(F.desc("recipe_id"))
-        flagged = rows.groupBy("subject", "snapshot_id").agg(F.bool_or("contains_erased_subject").alias("flagged"))
-        last = rows.withColumn("k", F.row_number().over(one)).where("k = 1").join(flagged, ["subject", "snapshot_id"])
-        return last.select("subject", "snapshot_id", "path", "data", F.col("data").isNotNull().alias("ok"), (F.col("reason") == "immutable-mixed").alias("unrestorable"), "contains_erased_subject", "reason", "flagged")
+        last = rows.withColumn("k", F.row_number().over(one)).where("k = 1")  # bytes of other versions are never read
+        data = self._assembled(last.where("chunk_ids is not null").select("recipe_id", "subject", "chunk_ids"))
+        last = last.join(data, "recipe_id", "left").withColumn("contains_erased_subject", carries & F.col("data").isNotNull())
+        last = last.withColumn("reason", F.when((F.col("reason") == "") & F.col("data").isNull(), "missing-key").otherwise(F.col("reason")))
+        if waiting:
+            keys = self._opened(rows.where(carries).select("recipe_id", "subject", "chunk_ids")).groupBy("recipe_id").agg((F.count("dek") == F.count("*")).alias("open"))
+            flagged = rows.where(carries).join(keys.where("open"), "recipe_id").select("subject", "snapshot_id").distinct().withColumn("flagged", F.lit(True))
+            last = last.join(flagged, ["subject", "snapshot_id"], "left")
+        else:
+            last = last.withColumn("flagged", F.lit(False))
+        return last.select("subject", "snapshot_id", "path", "data", F.col("data").isNotNull().alias("ok"), (F.col("reason") == "immutable-mixed").alias("unrestorable"), "contains_erased_subject", "reason", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
     def restore(self, subject: str, snapshot_id: str) -> DataFrame:
         """path, data, ok, unrestorable, contains_erased_subject, reason of a subject's snapshot."""
@@ -181,6 +215,10 @@ class Store:
         """subject and its number of pins: one for each recipe under each hold."""
         return self._held_recipes(self.tables.read("recipes")).groupBy("subject").agg(F.count("*").alias("pins"))
 
+    def chunk_pins(self) -> DataFrame:
+        """chunk_id and its number of pins: one for each of its places in each recipe under each hold."""
+        return self._held_recipes(self.tables.read("recipes")).select(F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("pins"))
+
     def _step(self) -> int:
         return self.tables.state.get("step", 0) + 1
 
@@ -210,7 +248,12 @@ class Store:
         if self.config.wrap_mode == "and-wrap":
             return recipes.withColumn("chunk_id", F.explode("chunk_ids")).join(touched, "chunk_id", "left_semi").select("recipe_id").distinct().join(recipes, "recipe_id")
         if self.config.mixed_policy in ("copy-out-mixed", "drop-for-both") and not touched.join(self.tables.read("chunk_log").where("file_class = 'mixed'"), "chunk_id", "left_semi").isEmpty():
-            return recipes.where("file_class = 'mixed'")
+            mixed = recipes.where("file_class = 'mixed'")
+            if self.config.scope == "all":
+                return mixed
+            index = self.tables.read("fp_index")
+            equal = index.join(touched.join(index, "chunk_id").select("fp").distinct(), "fp", "left_semi").select("chunk_id")
+            return mixed.withColumn("chunk_id", F.explode("chunk_ids")).join(equal, "chunk_id", "left_semi").select("recipe_id").distinct().join(mixed, "recipe_id")
         return recipes.where("false")
 
     def _blocking(self, subject: str) -> DataFrame:
@@ -238,12 +281,16 @@ class Store:
         t.commit(append=append, replace={"recipe_flags": t.stage("recipe_flags", flags)}, state={"step": step})
 
     def _finish(self, subject: str) -> None:
+        with scratch.scope(), self.tables.staging():
+            self._shred(subject)
+
+    def _shred(self, subject: str) -> None:
         t, config = self.tables, self.config
         wraps, index = t.read("wraps"), t.read("fp_index")
         touched = wraps.where(F.col("subject") == subject).select("chunk_id").distinct()
         left = wraps.where(F.col("subject") != subject)
         destroyed = self._destroyed(subject).select("recipe_id", "subject", "snapshot_id", "path", "chunk_ids")
-        append, extra, done = {}, None, []
+        append, extra = {}, None
         copies = t.read("copyouts")
         drops = config.mixed_policy in ("copy-out-mixed", "drop-for-both") and config.wrap_mode != "and-wrap"
         if config.wrap_mode == "and-wrap":
@@ -251,30 +298,24 @@ class Store:
         elif drops:
             recipes = destroyed
             if config.mixed_policy == "drop-for-both":
-                mixed = not destroyed.isEmpty() or not touched.join(t.read("chunk_log").where("file_class = 'mixed'"), "chunk_id", "left_semi").isEmpty()
-                recipes = t.read("recipes").where("file_class = 'mixed'") if mixed else destroyed
+                recipes = destroyed.union(t.read("recipes").where((F.col("subject") == subject) & (F.col("file_class") == "mixed")).select(*destroyed.columns))
             now = recipes.join(copies.select("recipe_id", F.col("chunk_ids").alias("copied")), "recipe_id", "left").select("recipe_id", "subject", "snapshot_id", "path", F.coalesce("copied", "chunk_ids").alias("chunk_ids"))
             shredded = recipes.select(F.explode("chunk_ids").alias("chunk_id")).union(now.select(F.explode("chunk_ids").alias("chunk_id"))).distinct()
             if config.mixed_policy == "copy-out-mixed" and config.redactor is not None:
                 plain = self._assembled(now).where("data is not null").join(now.drop("chunk_ids"), "recipe_id")
-                redacted = plain.withColumn("data", config.redactor(F.col("data"), F.lit(subject))).withColumn("file_class", F.lit("unique")).withColumn("share", F.lit(False)).withColumn("seq", F.col("recipe_id"))
-                cut = redacted.select("*", F.posexplode(C.pieces("data")).alias("pos", "piece")).withColumn("fp", C.fingerprint("piece")).drop("data")
-                chunks, path = scratch.write(cut, "copy-out")
-                placed, new, all_wraps, _, paths = self._place(chunks)
+                redacted = plain.withColumn("data", self._redacted(subject)).withColumn("file_class", F.lit("unique")).withColumn("share", F.lit(False)).withColumn("seq", F.col("recipe_id"))
+                key = C.ephemeral_key()
+                placed, new, extra, keys = self._place(self._pieces(redacted, key), key)
                 made = placed.groupBy("recipe_id", "subject", "snapshot_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
-                made, made_path = scratch.write(made, "copy-out-recipes")
-                kept_new, new_path = scratch.write(new, "copy-out-chunks")
-                extra = all_wraps.join(kept_new.select("chunk_id"), "chunk_id", "left_semi")
                 copies = copies.join(made.select("recipe_id"), "recipe_id", "left_anti").unionByName(made)
-                append["chunk_log"] = t.stage("chunk_log", kept_new)
-                index = index.unionByName(kept_new.select("fp", "file_class", "chunk_id"))
-                done = [path, made_path, new_path, *paths]
+                append["chunk_log"] = t.stage("chunk_log", new)
+                index = index.unionByName(new.select("fp", "file_class", "chunk_id"))
             destroyed = recipes
         else:
             shredded, destroyed = touched.where("false"), destroyed.where("false")
         left = left.join(shredded, "chunk_id", "left_anti")
         left = left if extra is None else left.unionByName(extra)
-        new_wraps, wraps_path = scratch.write(left, "erase-wraps")
+        new_wraps = scratch.table(left, "erase-wraps")  # wrapped keys only
         flags = t.read("recipe_flags")
         mine = t.read("recipes").where(F.col("subject") == subject).select("recipe_id", F.lit(True).alias("mine"))
         gone = destroyed.select("recipe_id").distinct().withColumn("gone", F.lit(drops))
@@ -287,8 +328,17 @@ class Store:
             "pending": t.stage("pending", waiting.where(F.col("subject") != subject)), "windows": t.stage("windows", windows), "copyouts": t.stage("copyouts", copies.where(F.col("subject") != subject)),
         }
         t.commit(append=append, replace=replace, state={"step": self._step()})
-        for p in (wraps_path, *done):
-            scratch.drop(self.spark, p)
+
+    def _redacted(self, subject: str) -> Column:
+        """``data`` without the subject: by a function of columns, or by one of bytes and the subject's name."""
+        redactor = self.config.redactor
+        if getattr(redactor, "of_bytes", False):
+
+            def run(rows: pd.Series) -> pd.Series:
+                return rows.map(lambda data: redactor(bytes(data), subject))
+
+            return F.pandas_udf(run, "binary")(F.col("data"))
+        return redactor(F.col("data"), F.lit(subject))
 
     # -- views ----------------------------------------------------------------------------------
 

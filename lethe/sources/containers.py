@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from email import message_from_bytes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OWNER_HEADER = "X-Backup-Subject"
@@ -101,8 +101,8 @@ def binary_file(spark: SparkSession, path: str) -> bytes:
 
 
 def as_log(rows: DataFrame, snapshot_id: str, order: list[str]) -> DataFrame:
-    """Inner objects as a log to ingest; ``order`` gives seq."""
-    numbered = rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Inner objects as a log to ingest; ``order`` gives seq, which rises with gaps: rows are sorted in ranges, not in one task."""
+    numbered = rows.orderBy(*order).withColumn("seq", F.monotonically_increasing_id())
     return numbered.select("seq", "subject", F.lit(snapshot_id).alias("snapshot_id"), "path", "data", "file_class")
 
 

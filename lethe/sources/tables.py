@@ -2,12 +2,16 @@
 
 The manifest names the current files of each table.  A change writes new files, swaps the manifest
 by a rename, and only then deletes files that it no longer names: keys that were shredded are gone.
+New files of a change that fails are deleted too; ``sweep`` deletes those that a killed driver left.
+A change is refused if the manifest isn't the one that was read: two writers can't undo each other.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +38,38 @@ class Tables:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.manifest: dict[str, list[str]] = {name: [] for name in SCHEMAS}
         self.state: dict = {}
-        if self._fs.exists(self._path(f"{self.root}/manifest.json")):
-            found = json.loads("\n".join(r[0] for r in spark.read.text(f"{self.root}/manifest.json").collect()))
+        self._staged: list[str] = []
+        if found := self._current():
             self.manifest |= found["tables"]
             self.state = found["state"]
 
+    def _current(self) -> dict:
+        if not self._fs.exists(self._path(f"{self.root}/manifest.json")):
+            return {}
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifest.json").collect()))
+
+    @contextmanager
+    def staging(self) -> Iterator[None]:
+        """Delete at the end what was staged inside and not committed."""
+        self._staged = []
+        try:
+            yield
+        finally:
+            named = {f for files in self.manifest.values() for f in files}
+            for file in self._staged:
+                if file not in named:
+                    self._fs.delete(self._path(f"{self.root}/{file}"), True)
+            self._staged = []
+
+    def sweep(self) -> None:
+        """Delete files that the manifest doesn't name; only while nobody writes."""
+        named = {f for files in self.manifest.values() for f in files}
+        for name in SCHEMAS:
+            if self._fs.exists(folder := self._path(f"{self.root}/{name}")):
+                for status in self._fs.listStatus(folder):
+                    if f"{name}/{status.getPath().getName()}" not in named:
+                        self._fs.delete(status.getPath(), True)
+
     def _path(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -47,10 +78,15 @@ class Tables:
         files = [f"{self.root}/{f}" for f in self.manifest[name]]
         return reader.parquet(*files) if files else self.spark.createDataFrame([], SCHEMAS[name])
 
+    def read_file(self, name: str, file: str) -> DataFrame:
+        """A staged file of a table."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{file}")
+
     def stage(self, name: str, df: DataFrame) -> str:
         """Write new files of a table; ``commit`` makes them current."""
         file = f"{name}/{uuid.uuid4().hex}"
         columns = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        self._staged.append(file)
         df.select(*columns).write.parquet(f"{self.root}/{file}")
         return file
 
@@ -61,7 +97,10 @@ class Tables:
             new[name].append(file)
         for name, file in (replace or {}).items():
             new[name] = [file]
-        state = self.state | (state or {})
+        version = self.state.get("version", 0)
+        if (self._current().get("state") or {}).get("version", 0) != version:
+            raise RuntimeError("another writer has changed the store; open it anew")
+        state = self.state | (state or {}) | {"version": version + 1}
         temporary, final = self._path(f"{self.root}/.manifest-{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest.json")
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps({"tables": new, "state": state}).encode()))
