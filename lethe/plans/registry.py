@@ -84,7 +84,7 @@ _PHYSICAL = "select ord, mode, wrap, policy, file_class, fp, own, max(n) + 16 as
 
 _both("chunk_sizes", "select path, subject, pos, n from {chunk}")
 _both("chunk_fingerprints", "select path, subject, pos, fp from {chunk}")
-_both("dedup_first_occurrence", "select file_class, fp, min(seq) as first_seq, min_by(pos, seq * 1000000 + pos) as first_pos, count(*) as occurrences, max(n) as n from {chunk} group by file_class, fp")
+_both("dedup_first_occurrence", "select file_class, fp, min(seq) as first_seq, min_by(pos, struct(seq, pos)) as first_pos, count(*) as occurrences, max(n) as n from {chunk} group by file_class, fp", "select file_class, fp, min(seq) as first_seq, first(pos order by seq, pos) as first_pos, count(*) as occurrences, max(n) as n from {chunk} group by file_class, fp")
 _both("owner_sets", "select file_class, fp, array_join(array_sort(collect_set(subject)), ',') as owners from {chunk} group by file_class, fp", "select file_class, fp, string_agg(distinct subject, ',' order by subject) as owners from {chunk} group by file_class, fp")
 _both("owner_count_histogram", "select file_class, owners, count(*) as chunks, cast(sum(n) as bigint) as bytes from (select file_class, fp, count(distinct subject) as owners, max(n) as n from {chunk} group by file_class, fp) group by file_class, owners")
 _both(
@@ -134,10 +134,10 @@ _both(
 )
 _both("restore_latest_version", "select subject, tenant, max(seq) as seq, max_by(path, seq) as path, max_by(n_bytes, seq) as n_bytes from {log} group by subject, tenant")
 _MATCH = "(nullif(h.subject, '') is null or h.subject = r.subject) and (nullif(h.snapshot_id, '') is null or h.snapshot_id = r.snapshot_id) and (nullif(h.path, '') is null or h.path = r.path) and coalesce(nullif(h.subject, ''), nullif(h.snapshot_id, ''), nullif(h.path, '')) is not null"
-_both("hold_matches", f"select /*+ BROADCAST(h) */ h.hold_id, r.subject, r.snapshot_id, r.path from {{log}} r join {{hold}} h on {_MATCH}", f"select h.hold_id, r.subject, r.snapshot_id, r.path from {{log}} r join {{hold}} h on {_MATCH}")
-_both("hold_pins", f"select /*+ BROADCAST(h) */ r.subject, count(*) as pins, count(distinct h.hold_id) as holds from {{log}} r join {{hold}} h on {_MATCH} group by r.subject", f"select r.subject, count(*) as pins, count(distinct h.hold_id) as holds from {{log}} r join {{hold}} h on {_MATCH} group by r.subject")
-_both("chunk_pins", f"select /*+ BROADCAST(h) */ r.file_class, r.fp, count(*) as pins from {{chunk}} r join {{hold}} h on {_MATCH} group by r.file_class, r.fp", f"select r.file_class, r.fp, count(*) as pins from {{chunk}} r join {{hold}} h on {_MATCH} group by r.file_class, r.fp")
-_both("held_erase_status", f"select /*+ BROADCAST(h) */ r.subject, r.path, case when max(h.hold_id) is not null then 'deferred' else 'erased' end as status from {{log}} r left join {{hold}} h on {_MATCH} where r.subject = '{E0}' group by r.subject, r.path", f"select r.subject, r.path, case when max(h.hold_id) is not null then 'deferred' else 'erased' end as status from {{log}} r left join {{hold}} h on {_MATCH} where r.subject = '{E0}' group by r.subject, r.path")
+_both("hold_matches", f"select h.hold_id, r.subject, r.snapshot_id, r.path from {{log}} r join {{hold}} h on {_MATCH}", f"select h.hold_id, r.subject, r.snapshot_id, r.path from {{log}} r join {{hold}} h on {_MATCH}")
+_both("hold_pins", f"select r.subject, count(*) as pins, count(distinct h.hold_id) as holds from {{log}} r join {{hold}} h on {_MATCH} group by r.subject", f"select r.subject, count(*) as pins, count(distinct h.hold_id) as holds from {{log}} r join {{hold}} h on {_MATCH} group by r.subject")
+_both("chunk_pins", f"select r.file_class, r.fp, count(*) as pins from {{chunk}} r join {{hold}} h on {_MATCH} group by r.file_class, r.fp", f"select r.file_class, r.fp, count(*) as pins from {{chunk}} r join {{hold}} h on {_MATCH} group by r.file_class, r.fp")
+_both("held_erase_status", f"select r.subject, r.path, case when max(h.hold_id) is not null then 'deferred' else 'erased' end as status from {{log}} r left join {{hold}} h on {_MATCH} where r.subject = '{E0}' group by r.subject, r.path", f"select r.subject, r.path, case when max(h.hold_id) is not null then 'deferred' else 'erased' end as status from {{log}} r left join {{hold}} h on {_MATCH} where r.subject = '{E0}' group by r.subject, r.path")
 _both("cross_tenant_sharing", "select tenants, count(*) as chunks, cast(sum(n) as bigint) as bytes from (select file_class, fp, count(distinct tenant) as tenants, max(n) as n from {chunk} group by file_class, fp) group by tenants")
 _both("mixed_share_possible", "select count(*) as chunks, cast(coalesce(sum((copies - 1) * (n + 16)), 0) as bigint) as bytes_saved from (select fp, max(n) as n, count(*) as copies from {chunk} where file_class = 'mixed' group by fp having count(distinct subject) > 1)")
 

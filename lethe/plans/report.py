@@ -7,13 +7,18 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COLUMNS = {"mode": "name", "alice_gone": "alice_unique_gone", "bob_ident": "bob_identical_ok", "mixed_leak": "bob_mixed_has_alice", "live_after": "live_bytes_after", "vs_ns_before": "space_vs_never_share_before", "vs_ns_after": "space_vs_never_share_after", "erase_ms": "erase_ms"}
+#: Heading and field of each column of the modes' table.
+COLUMNS = (
+    ("policy", "name"), ("erased unreadable", "alice_unique_gone"), ("shared whole", "bob_identical_ok"), ("mixed names erased", "bob_mixed_has_alice"),
+    ("live bytes", "live_bytes_after"), ("live/unshared, before", "space_vs_never_share_before"), ("after", "space_vs_never_share_after"), ("erasure, ms", "erase_ms"),
+)
 
 
 def mode_table(rows: list[dict]) -> str:
-    """Fixed-width table of the modes."""
-    cells = [list(COLUMNS), *([str(row[c]) for c in COLUMNS.values()] for row in rows)]
-    return "\n".join("  ".join(x.rjust(14) for x in line) for line in cells)
+    """A line of headings and one for each mode, columns as wide as they need."""
+    lines = [[heading for heading, _ in COLUMNS], *([str(row[field]) for _, field in COLUMNS] for row in rows)]
+    widths = [max(map(len, column)) for column in zip(*lines)]
+    return "\n".join(" | ".join(x.ljust(n) for x, n in zip(line, widths)).rstrip() for line in lines)
 
 
 def to_json(result: dict) -> str:

@@ -86,13 +86,39 @@ def photos(files: DataFrame, people: tuple[str, ...] = PEOPLE) -> DataFrame:
 def photo_files(spark: SparkSession, root: str) -> DataFrame:
     """path (below ``root``) and data of all files whose name doesn't begin with a dot.
 
-    Spark's reader also skips names that begin with an underscore and what lies in hidden folders.
+    The folder is listed through Hadoop, names only, and the files are read on the executors by their
+    paths.  Spark's reader leaves out names that begin with an underscore, so those are read by pyarrow.
     """
-    base = root if "://" in root or root.startswith("file:") else f"file:{root}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    prefix = base.split(":", 1)[1].lstrip("/").rstrip("/")
-    relative = F.regexp_extract("path", f"^[a-z]+:/*{re.escape(prefix)}/(.*)$", 1)
-    return found.select(relative.alias("path"), F.col("content").alias("data")).where(~F.regexp_extract("path", "[^/]*$", 0).startswith("."))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(root)
+    found, files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    start = found.makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    listed = found.listFiles(base, True)
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if not path.getName().startswith("."):
+            files.append((path.toUri().getPath().removeprefix(start), path.toString()))
+    left_out = [x for x in files if x[0].rpartition("/")[2].startswith("_") or x[0].endswith("._COPYING_")]
+    seen = [x for x in files if x not in left_out]
+    rows = spark.createDataFrame(left_out, "path string, uri string").mapInArrow(_read_files, "path string, data binary")
+    if not seen:
+        return rows
+    # a glob sign in a path is taken literally
+    read = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?,])", r"\\\1", uri) for _, uri in seen]).select(F.col("path").alias("uri"), F.col("content").alias("data"))
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    names = spark.createDataFrame(seen, "path string, named string")
+    return read.join(names, bare(read["uri"]) == bare(names["named"])).select("path", "data").union(rows)
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, uri in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            scheme, _, rest = uri.partition(":")
+            files, name = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(uri)
+            with files.open_input_stream(name) as stream:
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([stream.read()], pa.binary())], ["path", "data"])
 
 
 def binary_file(spark: SparkSession, path: str) -> bytes:
@@ -119,10 +145,13 @@ def ingest_photos(store, spark: SparkSession, root: str, snapshot_id: str, peopl
     return rows
 
 
+#: What an erasure of the first person must take from the sample.
+HOME = b"7 Quay Street"
+#: Owners and body of each message: each person's own, one of both, and one that both have.
+SAMPLE = (("alice", b"I live at 7 Quay Street now."), ("bob", b"The lease is signed."), ("alice, bob", b"Notes by Alice and Bob."), ("alice", b"SetupProgram-same-bytes"), ("bob", b"SetupProgram-same-bytes"))
+
+
 def sample_mbox() -> bytes:
-    """Five messages: one of each person, one of both, and one body that both have."""
-    lines = []
-    for i, (owner, subject, body) in enumerate((("alice", "home", "The home address is 1 Alice Lane."), ("bob", "work", "What Bob signed."), ("alice, bob", "talk", "ALICE and BOB both wrote in this."), ("alice", "setup", "SetupProgram-same-bytes"), ("bob", "setup", "SetupProgram-same-bytes"))):
-        sender = owner.split(",")[0]
-        lines.append(f"From {sender}@example.com Sun Sep 20 00:0{i}:00 2026\n{OWNER_HEADER}: {owner}\nFrom: {sender}@example.com\nSubject: {subject}\n\n{body}\n\n")
-    return "".join(lines).encode()
+    """The messages of ``SAMPLE`` in one mailbox."""
+    head = b"From %s@example.com Mon Jan  5 09:00:00 2026\n" + OWNER_HEADER.encode() + b": %s\n\n%s\n\n"
+    return b"".join(head % (owners.split(",")[0].encode(), owners.encode(), body) for owners, body in SAMPLE)

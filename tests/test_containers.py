@@ -21,13 +21,13 @@ def test_odd_mail(spark):
 
 
 def test_photos(spark, tmp_path):
-    for name, data in (("alice-1.jpg", b"a"), ("bob-1.jpg", b"b"), ("group.jpg", b"g"), ("in/alice-bob.jpg", b"ab"), ("alice-x.jpg", b"x"), ("bob-x.jpg", b"x"), (".hidden", b"h"), ("tree.jpg", b"t")):
+    for name, data in (("alice-1.jpg", b"a"), ("bob-1.jpg", b"b"), ("group.jpg", b"g"), ("in/alice-bob.jpg", b"ab"), ("alice-x.jpg", b"x"), ("bob-x.jpg", b"x"), (".hidden", b"h"), ("tree.jpg", b"t"), ("_bob-2.jpg", b"u"), (".trip/bob 3, [x].jpg", b"v")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     got = containers.photos(containers.photo_files(spark, str(tmp_path))).collect()
     kinds = {(r["path"].removeprefix("photos/"), r["subject"]): r["file_class"] for r in got}
     both = {(n, who): "mixed" for n in ("group.jpg", "in/alice-bob.jpg") for who in ("alice", "bob")}
-    assert kinds == both | {("alice-1.jpg", "alice"): "unique", ("bob-1.jpg", "bob"): "unique", ("alice-x.jpg", "alice"): "identical", ("bob-x.jpg", "bob"): "identical", ("tree.jpg", "alice"): "unique"}
+    assert kinds == both | {("alice-1.jpg", "alice"): "unique", ("bob-1.jpg", "bob"): "unique", ("alice-x.jpg", "alice"): "identical", ("bob-x.jpg", "bob"): "identical", ("tree.jpg", "alice"): "unique", ("_bob-2.jpg", "bob"): "unique", (".trip/bob 3, [x].jpg", "bob"): "unique"}
 
 
 def test_erasure_inside_containers(spark):

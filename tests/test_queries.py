@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lethe.plans import registry
+from lethe.plans import registry, store_queries
 
 from .rows import rows
 
@@ -19,10 +19,12 @@ def duck():
     return session
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", [*registry.QUERIES, *store_queries.QUERIES])
 def test_same_rows_as_duckdb(spark, duck, name):
-    got, want = registry.QUERIES[name](spark, DATA).toPandas(), duck.sql(registry.ORACLES[name]).df()
+    queries, oracles = registry.QUERIES | store_queries.QUERIES, registry.ORACLES | store_queries.ORACLES
+    got, want = queries[name](spark, DATA).toPandas(), duck.sql(oracles[name]).df()
     assert rows(got) == rows(want)
+    assert len(want) or name not in store_queries.QUERIES
 
 
 def test_conflicts_are_found(spark, duck, tmp_path):
@@ -39,3 +41,23 @@ def test_entry_has_every_query():
     import __spark_entry__ as entry
 
     assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
+
+
+@pytest.mark.parametrize("missing", [("lethe.llm",), ("lethe.llm", "corpus_pipeline"), ("xxhash", "regex")])
+def test_entry_without_the_training_operators(monkeypatch, missing):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n.startswith("lethe.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.delattr("lethe.llm", raising=False)
+    for name in missing:
+        monkeypatch.setitem(sys.modules, name, None)
+    try:
+        bare = importlib.reload(entry)
+        assert set(bare.queries()) == set(registry.QUERIES | store_queries.QUERIES) and set(bare.oracle_sql()) <= set(bare.queries())
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
