@@ -2,12 +2,13 @@
 
 ``store`` writes each text's bytes, padded to a multiple of 64, as the rows of an 8-bit grey PNG of
 width 64 into zip archives of about ``archive_bytes`` in the shared folder.  An archive is written under
-a name of its own; a task's archives count once its list file is moved into place, so a lost or
-repeated attempt leaves nothing that is read.
+a name of its own; an attempt's archives count once its list file, of a name of its own too, is moved
+into place, so a lost or repeated attempt leaves nothing that is read and no file is ever replaced.
 
 ``ArchiveSource`` reads archives: its partitions are byte ranges of archives, and a task reads the
 archive's directory and the members whose offset lies in its range, as Arrow batches of a few
 megabytes.  Each member is read again by its offset, up to ``attempts`` times, before the task fails.
+List files are read by many threads at once; of a task's repeated attempts one list counts.
 
 Null counts as empty: 64 zero bytes.  Rows are stored each for themselves, so repeated rows give
 repeated rows, and equal texts have equal media.  An empty table gives no rows.
@@ -24,6 +25,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lethe.plans import scratch
 
-WIDTH = 64
+WIDTH, LISTERS = 64, 32
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -119,10 +121,10 @@ def store(df: DataFrame, path: str, *, text: str = "text", key: str = "doc_id",
         if archive is not None:
             archive.close()
             stream.close()
-        listed = f"{root}/{part:07d}-{uuid.uuid4().hex}.tmp"
-        with files.open_output_stream(listed) as out:
+        listed = f"{root}/{part:07d}-{uuid.uuid4().hex}"
+        with files.open_output_stream(f"{listed}.tmp") as out:
             out.write(json.dumps(names).encode())
-        files.move(listed, f"{root}/{part:07d}.list")
+        files.move(f"{listed}.tmp", f"{listed}.list")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     source.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
@@ -157,11 +159,15 @@ class ArchiveReader(DataSourceReader):
         files, root = fs.FileSystem.from_uri(self.path)
         found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
         sizes = {f.base_name: f.size for f in found}
-        out = []
-        for f in sorted(x.path for x in found if x.base_name.endswith(".list")):
-            with files.open_input_stream(f) as listed:
-                for name in json.loads(listed.read()):
-                    out += [Range(f"{root}/{name}", at, at + self.split) for at in range(0, sizes[name], self.split)]
+        lists = {name.partition("-")[0]: name for name in sorted(sizes, reverse=True) if name.endswith(".list")}
+
+        def names(listed: str) -> list[str]:
+            with files.open_input_stream(f"{root}/{listed}") as f:
+                return json.loads(f.read())
+
+        with ThreadPoolExecutor(LISTERS) as pool:
+            archives = [name for found in pool.map(lambda x: self._again(lambda: names(x)), lists.values()) for name in found]
+        out = [Range(f"{root}/{name}", at, at + self.split) for name in sorted(archives) for at in range(0, sizes[name], self.split)]
         return out or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:

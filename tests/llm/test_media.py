@@ -1,7 +1,9 @@
 """Stored media against payloads; members read again by offset."""
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 
 import pytest
 from pyarrow import fs
@@ -17,10 +19,40 @@ def check(row, text):
     raw = (text or "").encode()
     payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
     png = media.to_png(payload)
-    assert media.from_png(png) == payload
+    assert media.from_png(png) == payload == decoded(png)
     assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
     assert (row["tail_crc32"], row["media_bytes"], row["media_sha256"]) == (zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest())
     assert row["feature"] == media.features(payload)
+    plain(payload[:6400])
+
+
+def decoded(png):
+    """The samples of a grey PNG of eight bits, by the format's own rules."""
+    assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10]) and png[12:16] == b"IHDR"
+    width, height = int.from_bytes(png[16:20], "big"), int.from_bytes(png[20:24], "big")
+    assert list(png[24:29]) == [8, 0, 0, 0, 0]
+    at, data = 8, b""
+    while at < len(png):
+        n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        assert zlib.crc32(png[at + 4 : at + 8 + n]) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+        data += png[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompress(data)
+    assert len(raw) == height * (width + 1) and not any(raw[:: width + 1])
+    return b"".join(raw[i * (width + 1) + 1 : (i + 1) * (width + 1)] for i in range(height))
+
+
+def plain(payload):
+    """The features by one sample at a time."""
+    n, mean = len(payload), sum(payload) / len(payload)
+    std = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+    columns = [sum(payload[i::64]) / (n // 64) for i in range(64)]
+    bits = "".join("01"[x >= sum(columns) / 64] for x in columns)
+    size, *rest = media.features(payload).split(";")
+    got = dict(x.split("=") for x in rest)
+    assert size == f"64x{n // 64}" and got["ahash"] == f"{int(bits, 2):016x}"
+    assert all(abs(float(got[k]) - v) < 1e-3 for k, v in (("mean", mean), ("std", std), ("entropy", entropy)))
 
 
 def test_tables(spark):
@@ -54,6 +86,14 @@ def test_unlisted_archives_are_left_alone(spark, tmp_path):
     assert media.load(spark, path).count() == 1
 
 
+def test_repeated_attempts_count_once(spark, tmp_path):
+    path = f"file://{tmp_path}/archives"
+    media.store(documents(spark, ["one", "two"]).coalesce(1), path)
+    media.store(documents(spark, ["one", "two"]).coalesce(1), path)
+    assert len(list((tmp_path / "archives").glob("0000000-*.list"))) == 2
+    assert sorted(r["member"] for r in media.load(spark, path).collect()) == ['[0, "0", 3]', '[1, "1", 3]']
+
+
 def test_members_are_tried_again(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/archives"
     media.store(documents(spark, ["one", "two", "three"]).coalesce(1), path)
