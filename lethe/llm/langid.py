@@ -75,7 +75,7 @@ def fit(df: DataFrame, *, text: str = "text", label: str = "lang", key: str = "d
         for batch in batches:
             by: dict[str, list[str]] = {}
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(name, []).extend(WORD.findall(value.lower()))
+                by.setdefault(name, []).extend(WORD.findall(lowered(value)))
             for name, words in by.items():
                 if words:
                     keys, n = np.unique(_codes(words)[0], return_counts=True)
@@ -161,20 +161,25 @@ def _has_letter(words: list[str]) -> bool:
     return any(any(map(str.isalpha, w)) for w in words)
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length: the capital dotted I becomes a plain i, not two characters."""
+    return text.replace("\u0130", "i").lower()
+
+
 def words_of(low: str) -> list[str]:
     return (WORD if PLAIN.search(low) else PLAIN_WORD).findall(low)
 
 
 def label_many(texts: list[str | None], scorer: Scorer, penalty: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Language, score and labelled spans of each text."""
-    lows = [(t or "").lower() for t in texts]
+    lows = [lowered(t or "") for t in texts]
     words = [words_of(low) for low in lows]
     if not scorer.model.languages:
         return [("und", 0.0, [])] * len(texts)
-    return [_label(*x, scorer.model, penalty) for x in zip(texts, lows, words, scorer.scores(words))]
+    return [_label(*x, scorer.model, penalty) for x in zip(lows, words, scorer.scores(words))]
 
 
-def _label(text: str | None, low: str, words: list[str], scores: np.ndarray, model: Model, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
+def _label(low: str, words: list[str], scores: np.ndarray, model: Model, penalty: float) -> tuple[str, float, list[tuple[int, int, str]]]:
     names = model.languages
     if not _has_letter(words):
         return "und", 0.0, []
@@ -188,20 +193,16 @@ def _label(text: str | None, low: str, words: list[str], scores: np.ndarray, mod
     sure = 1 / (1 + np.exp(-min(60.0, totals[-1] - totals[-2]))) if len(names) > 1 else 1.0
     changes = np.flatnonzero(np.diff(labels)) + 1
     edges = [0, *changes.tolist(), len(words)]
-    spans = []
-    if len(low) == len(text):
-        where = [m.span() for m in WORD.finditer(low)] if len(edges) > 2 else [(low.index(words[0]), 0), (0, low.rindex(words[-1]) + len(words[-1]))]
-        for a, b in zip(edges, edges[1:]):
-            a, b = (a, b) if len(edges) > 2 else (0, 2)
-            spans.append((where[a][0], where[b - 1][1], names[int(labels[min(a, len(labels) - 1)])]))
+    if len(edges) > 2:
+        where = [m.span() for m in WORD.finditer(low)]
+        spans = [(where[a][0], where[b - 1][1], names[int(labels[a])]) for a, b in zip(edges, edges[1:])]
+    else:
+        spans = [(low.index(words[0]), low.rindex(words[-1]) + len(words[-1]), names[int(labels[0])])]
     return names[best], float(weight[best] / weight.sum() * sure), spans
 
 
 def predict(df: DataFrame, model: Model, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY) -> DataFrame:
-    """``keys``, lang_pred, score, spans (start, end in code points, lang) for every row.
-
-    Spans are left out of texts whose lower case has another length.
-    """
+    """``keys``, lang_pred, score, spans (start, end in code points, lang) for every row."""
     source = df.select(*(F.col(k) for k in keys), F.col(text).alias("__text"))
     span = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("lang", "string"))
     schema = df.select(*keys).schema.add("lang_pred", "string").add("score", "double").add("spans", span)

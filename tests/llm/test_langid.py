@@ -48,6 +48,11 @@ def test_spans_of_mixed_text(spark, model):
     assert abs(spans[1][0] - len(by[one])) < 40 and spans[0][0] >= 0 and spans[-1][1] <= len(text)
 
 
+def test_capital_dotted_i_keeps_spans(spark, model):
+    rows = {r["doc_id"]: r["spans"] for r in langid.predict(documents(spark, ["\u0130 the old man and the sea", " I the old man and the sea"]), model).collect()}
+    assert [(x["start"], x["end"], x["lang"]) for x in rows[0]] == [(0, 25, "en")] and [(x["start"], x["end"]) for x in rows[1]] == [(1, 26)]
+
+
 def test_tables(spark, model):
     texts = [None, "", "123 ... \n", "the of and", "the of and", "漢字", "word " * 30000, "ª"]
     frame = clashing(documents(spark, texts))
