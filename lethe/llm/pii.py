@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lethe.llm.tlds import TLDS
+from lethe.llm.words import slices
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -132,11 +134,11 @@ class Tape:
     """A text and, for each of its characters, the source range it stands for."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text)
+        self.text, self.starts, self.ends, self.changed = text, array("q", range(len(text))), array("q", range(1, len(text) + 1)), bytearray(len(text))
 
     def rewrite(self, pattern: re.Pattern, to) -> None:
         """Replace each match by ``to(match)``: (character, first, last) with offsets in the match."""
-        out, starts, ends, changed, at = [], [], [], [], 0
+        out, starts, ends, changed, at = [], array("q"), array("q"), bytearray(), 0
         for m in pattern.finditer(self.text):
             out.append(self.text[at : m.start()])
             starts += self.starts[at : m.start()]
@@ -233,16 +235,23 @@ _SPANS = "array<struct<kind:string,start:long,end:long>>"
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about a megabyte of text at a time, so no batch's texts are all Python objects at once."""
+    for batch in batches:
+        for a, b in slices(batch.column(text), 1 << 20):
+            yield batch.slice(a, b - a)
+
+
 def find(df: DataFrame, *, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys``, base and spans (arrays of kind, start, end) for every row."""
     source = df.select(*(F.col(k) for k in keys), F.col(text).alias("__text"))
     schema = df.select(*keys).schema.add("base", _spans_type()).add("spans", _spans_type())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [spans_of(t.as_py()) for t in batch.column(len(keys))]
+        for rows in _pieces(batches, len(keys)):
+            both = [spans_of(t.as_py()) for t in rows.column(len(keys))]
             columns = [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in x[i]] for x in both], _ARROW_SPANS) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), *columns], [*keys, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(len(keys))), *columns], [*keys, "base", "spans"])
 
     return source.mapInArrow(run, schema)
 
@@ -259,19 +268,16 @@ def redacted(df: DataFrame, *, text: str = "text", length: str = "n_chars") -> D
     at, count = names.index(text), names.index(length) if length in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, changed = [], False
-            for value in batch.column(at).to_pylist():
-                spans = spans_of(value)[1]
-                changed |= bool(spans)
-                out.append(redact(value, spans) if spans else value)
-            columns = list(batch.columns)
-            if changed:
+        for rows in _pieces(batches, at):
+            texts = rows.column(at).to_pylist()
+            spans = [spans_of(t)[1] for t in texts]
+            columns = list(rows.columns)
+            if any(spans):
+                out = [redact(t, s) if s else t for t, s in zip(texts, spans)]
                 columns[at] = pa.array(out, columns[at].type)
                 if count >= 0 and pa.types.is_integer(columns[count].type):
-                    new = [n if v == t else len(t) for n, v, t in zip(columns[count].to_pylist(), batch.column(at).to_pylist(), out)]
-                    columns[count] = pa.array(new, columns[count].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                    columns[count] = pa.array([n if v == t else len(t) for n, v, t in zip(columns[count].to_pylist(), texts, out)], columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
     return df.mapInArrow(run, df.schema)
 
