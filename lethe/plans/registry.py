@@ -1,7 +1,8 @@
 """Name to query, and name to the DuckDB SQL with the same rows.
 
-Most queries are one SQL text over a few relations.  Spark derives the relations with DataFrame
-functions (``lethe.sources.mapping``), DuckDB with the common table expressions in ``BASE``.
+Many queries are one SQL text over a few relations.  Spark derives the relations with DataFrame
+functions (``lethe.sources.mapping``), DuckDB with the common table expressions in ``BASE``.  Those of
+space and restores are DataFrame functions (``lethe.plans.space``) and have SQL for DuckDB alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from lethe.operators import timeline
+from lethe.plans import space
 from lethe.plans.space import MODES
 from lethe.sources import mapping
 
@@ -63,18 +65,22 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _oracle(name: str, duck: str) -> None:
+    """Register DuckDB SQL over ``{relation}`` names."""
+    body = re.sub(r"\{(\w+)\}", r"\1", duck)
+    prefix = _with(sorted(set(re.findall(r"\{(\w+)\}", duck))))
+    ORACLES[name] = prefix + (", " + body.strip()[5:] if body.strip().lower().startswith("with ") else body)
+
+
 def _both(name: str, sql: str, duck: str | None = None) -> None:
     """Register one SQL text for Spark, over ``{relation}`` names, and for DuckDB (or its own)."""
-    duck = duck or sql
     used = sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(sql, **{r: RELATIONS[r](spark, sf_dir) for r in used})
 
-    body = re.sub(r"\{(\w+)\}", r"\1", duck)
-    prefix = _with(sorted(set(re.findall(r"\{(\w+)\}", duck))))
     QUERIES[name] = query
-    ORACLES[name] = prefix + (", " + body.strip()[5:] if body.strip().lower().startswith("with ") else body)
+    _oracle(name, duck or sql)
 
 
 E0 = mapping.ERASED
@@ -102,33 +108,34 @@ _PIVOT = ", ".join(f"cast(coalesce(sum(case when file_class = '{c}' then n_bytes
 _both("tenant_class_pivot", f"select tenant, {_PIVOT} from {{log}} group by tenant")
 _both("tenant_class_rollup", "select tenant, file_class, cast(sum(n_bytes) as bigint) as bytes, count(*) as files from {log} group by rollup(tenant, file_class)")
 _STATS = "cast(sum(cost) as bigint) as physical_bytes, cast(sum(case when {live} then cost else 0 end) as bigint) as live_bytes, count(*) as n_chunks, cast(sum(case when {live} then 1 else 0 end) as bigint) as n_live_chunks"
-_both("store_stats", f"with keyed as ({_KEYED}), phys as ({_PHYSICAL}) select mode, " + _STATS.replace("{live}", "true") + " from phys group by mode")
+_oracle("store_stats", f"with keyed as ({_KEYED}), phys as ({_PHYSICAL}) select mode, " + _STATS.replace("{live}", "true") + " from phys group by mode")
 for _name, _mode, _live in (
     ("erase_live_or_wrap", "or-wrap", "others = 1"),
     ("erase_live_and_wrap", "and-wrap", "erased = 0"),
     ("erase_live_no_cross_user", "no-cross-user", "others = 1"),
     ("erase_live_drop", "drop-for-both", "others = 1 and file_class <> 'mixed'"),
 ):
-    _both(_name, f"with keyed as ({_KEYED} where mode = '{_mode}'), phys as ({_PHYSICAL}) select file_class, " + _STATS.replace("{live}", _live) + " from phys group by file_class")
-_both("erase_live_copy_out", f"with keyed as ({_KEYED} where mode = 'copy-out-mixed'), phys as ({_PHYSICAL}) select (select cast(sum(cost) as bigint) from phys where others = 1 and file_class <> 'mixed') as kept_bytes, (select cast(coalesce(sum(n + 16), 0) as bigint) from {{redacted_chunk}} where subject <> '{E0}') as copied_bytes, (select count(*) from {{redacted_chunk}} where subject <> '{E0}') as copied_chunks")
-_LIVE = "case when wrap = 'and-wrap' then erased = 0 when policy in ('copy-out-mixed', 'drop-for-both') then others = 1 and file_class <> 'mixed' else others = 1 end"
+    _oracle(_name, f"with keyed as ({_KEYED} where mode = '{_mode}'), phys as ({_PHYSICAL}) select file_class, " + _STATS.replace("{live}", _live) + " from phys group by file_class")
+_oracle("erase_live_copy_out", f"with keyed as ({_KEYED} where mode = 'copy-out-mixed'), phys as ({_PHYSICAL}) select (select cast(sum(cost) as bigint) from phys where others = 1 and file_class <> 'mixed') as kept_bytes, (select cast(coalesce(sum(n + 16), 0) as bigint) from {{redacted_chunk}} where subject <> '{E0}') as copied_bytes, (select count(*) from {{redacted_chunk}} where subject <> '{E0}') as copied_chunks")
+_LIVE_OF = "case when {p}wrap = 'and-wrap' then {p}erased = 0 when {p}policy in ('copy-out-mixed', 'drop-for-both') then {p}others = 1 and {p}file_class <> 'mixed' else {p}others = 1 end"
+_LIVE = _LIVE_OF.replace("{p}", "")
 _MODE_TABLE = f"""with keyed as ({_KEYED}), phys as ({_PHYSICAL}),
     copied as (select cast(coalesce(sum(n + 16), 0) as bigint) as bytes, count(*) as chunks from {{redacted_chunk}} where subject <> '{E0}'),
     total as (select ord, mode, policy, cast(sum(cost) as bigint) as before_bytes, cast(sum(case when {_LIVE} then cost else 0 end) as bigint) as after_bytes, count(*) as chunks, cast(sum(case when {_LIVE} then 1 else 0 end) as bigint) as live_chunks from phys group by ord, mode, policy),
     done as (select ord, mode, before_bytes as live_bytes_before, after_bytes + case when policy = 'copy-out-mixed' then bytes else 0 end as live_bytes_after, before_bytes + case when policy = 'copy-out-mixed' then bytes else 0 end as physical_bytes_after,
         live_chunks + case when policy = 'copy-out-mixed' then chunks_copied else 0 end as n_live_chunks_after, chunks + case when policy = 'copy-out-mixed' then chunks_copied else 0 end as n_chunks from total cross join (select bytes, chunks as chunks_copied from copied))"""
-_both("mode_table", _MODE_TABLE + " select mode, live_bytes_before, live_bytes_after, physical_bytes_after, n_live_chunks_after, n_chunks from done")
-_both("space_vs_never_share", _MODE_TABLE + " select d.mode, round(cast(d.live_bytes_before as double) / nullif(b.live_bytes_before, 0), 4) as ratio_before, round(cast(d.live_bytes_after as double) / nullif(b.live_bytes_after, 0), 4) as ratio_after from done d cross join (select * from done where mode = 'no-cross-user') b")
+_oracle("mode_table", _MODE_TABLE + " select mode, live_bytes_before, live_bytes_after, physical_bytes_after, n_live_chunks_after, n_chunks from done")
+_oracle("space_vs_never_share", _MODE_TABLE + " select d.mode, round(cast(d.live_bytes_before as double) / nullif(b.live_bytes_before, 0), 4) as ratio_before, round(cast(d.live_bytes_after as double) / nullif(b.live_bytes_after, 0), 4) as ratio_after from done d cross join (select * from done where mode = 'no-cross-user') b")
 _both("affected_chunks", f"select file_class, fp, max(n) as n from {{chunk}} group by file_class, fp having max(case when subject = '{E0}' then 1 else 0 end) = 1")
 _both("ownerless_chunks", f"select file_class, fp, max(n) as n from {{chunk}} group by file_class, fp having max(case when subject = '{E0}' then 1 else 0 end) = 1 and max(case when subject <> '{E0}' then 1 else 0 end) = 0")
 _both("redact_transcripts", "select path, subject, n_bytes, n_redacted, n_bytes - n_redacted as dropped from {redacted}")
 _both("copy_out_chunks", f"select path, subject, pos, fp, n from {{redacted_chunk}} where subject <> '{E0}'")
 _both("mixed_leak_check", f"select c.path, c.subject, max(case when c.fp <> coalesce(r.fp, '') then 1 else 0 end) as has_erased_lines from {{chunk}} c left join {{redacted_chunk}} r on c.seq = r.seq and c.pos = r.pos where c.file_class = 'mixed' and c.subject <> '{E0}' group by c.path, c.subject")
-_both("leftover_chunks", f"with keyed as ({_KEYED}), phys as ({_PHYSICAL}) select mode, file_class, count(*) as chunks, cast(sum(cost) as bigint) as bytes from phys where {_LIVE} group by mode, file_class")
-_both(
+_oracle("leftover_chunks", f"with keyed as ({_KEYED}), phys as ({_PHYSICAL}) select mode, file_class, count(*) as chunks, cast(sum(cost) as bigint) as bytes from phys where {_LIVE} group by mode, file_class")
+_oracle(
     "restore_status",
     f"""with keyed as ({_KEYED}), phys as ({_PHYSICAL}),
-        status as (select k.ord, k.mode, k.policy, k.wrap, k.seq, k.subject, k.file_class, min(case when {_LIVE.replace("wrap", "p.wrap").replace("policy", "p.policy").replace("file_class", "p.file_class")} then 1 else 0 end) as whole
+        status as (select k.ord, k.mode, k.policy, k.wrap, k.seq, k.subject, k.file_class, min(case when {_LIVE_OF.replace("{p}", "p.")} then 1 else 0 end) as whole
             from keyed k join phys p on k.ord = p.ord and k.file_class = p.file_class and k.fp = p.fp and k.own = p.own group by k.ord, k.mode, k.policy, k.wrap, k.seq, k.subject, k.file_class)
         select mode, reason, count(*) as files from (select mode, case when subject = '{E0}' then 'recipe-erased' when file_class = 'mixed' and policy = 'copy-out-mixed' then 'copy-out' when file_class = 'mixed' and policy = 'drop-for-both' then 'immutable-mixed' when whole = 1 then '' else 'missing-key' end as reason from status) group by mode, reason""",
 )
@@ -141,5 +148,5 @@ _both("held_erase_status", f"select r.subject, r.path, case when max(h.hold_id)
 _both("cross_tenant_sharing", "select tenants, count(*) as chunks, cast(sum(n) as bigint) as bytes from (select file_class, fp, count(distinct tenant) as tenants, max(n) as n from {chunk} group by file_class, fp) group by tenants")
 _both("mixed_share_possible", "select count(*) as chunks, cast(coalesce(sum((copies - 1) * (n + 16)), 0) as bigint) as bytes_saved from (select fp, max(n) as n, count(*) as copies from {chunk} where file_class = 'mixed' group by fp having count(distinct subject) > 1)")
 
-QUERIES |= timeline.QUERIES
+QUERIES |= space.QUERIES | timeline.QUERIES
 ORACLES |= timeline.ORACLES

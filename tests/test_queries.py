@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lethe.plans import registry, store_queries
+from lethe.plans import registry, space, store_queries
 
 from .rows import rows
 
@@ -37,6 +37,25 @@ def test_conflicts_are_found(spark, duck, tmp_path):
     assert sorted((r["path"], r["pos"]) for r in got) == [("doc/1", 0), ("doc/2", 0)]
 
 
+def test_and_wrap_loses_what_the_store_loses(spark):
+    """Files that share a chunk with the erased person can't be restored, by the plan and by the store."""
+    modes = registry.QUERIES["restore_status"](spark, DATA).where("mode = 'and-wrap'").select("reason", "files").collect()
+    kept = store_queries.QUERIES["store_restored_and_wrap"](spark, DATA).groupBy("reason").count().collect()
+    assert sorted(map(tuple, modes)) == sorted(map(tuple, kept)) and dict(map(tuple, kept))["missing-key"]
+
+
+def test_kinds_of_chunks(spark):
+    """Chunks of the erased person, of others and of nobody, equal or not; none at all give no rows."""
+    chunk = [("unique", "a", 4, "src0"), ("unique", "a", 4, "src0"), ("unique", "a", 4, "x"), ("unique", "a", 4, None), ("mixed", "a", 4, "x"), ("mixed", "b", 0, None)]
+    frame = spark.createDataFrame(chunk, "file_class string, fp string, n long, subject string")
+    got = sorted(map(tuple, space.kinds(frame).collect()))
+    want = [
+        ("mixed", False, False, False, 16, 1), ("mixed", False, False, True, 20, 1), ("mixed", True, False, False, 16, 1), ("mixed", True, False, True, 20, 1),
+        ("unique", False, False, False, 20, 1), ("unique", False, False, True, 20, 1), ("unique", False, True, False, 40, 2), ("unique", True, True, True, 20, 1),
+    ]
+    assert got == want and not space.kinds(frame.limit(0)).collect()
+
+
 def test_entry_has_every_query():
     import __spark_entry__ as entry
 
