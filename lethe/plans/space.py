@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lethe.functions import columns as C
+from lethe.plans import scratch
 from lethe.sources import mapping
 
 #: Sharing policies that the space queries compare: mode, wrap mode, mixed policy.
@@ -119,10 +120,16 @@ def leftover_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def restore_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files by mode and by why they can't be restored, or not as they were ('' if they can)."""
+    """Files by mode and by why they can't be restored, or not as they were ('' if they can).
+
+    The fingerprints that the erased person owns, or nobody else, are written before they are joined, so
+    that the rows of a frequent one are split over tasks.
+    """
     rows = chunks(spark, sf_dir).select("seq", "subject", "file_class", "fp")
     owners = rows.groupBy("file_class", "fp").agg(F.bool_or(_mine()).alias("erased"), F.bool_or(_theirs()).alias("others"))
-    files = rows.join(owners, ["file_class", "fp"]).groupBy("seq", "subject", "file_class").agg(F.bool_or("erased").alias("erased"), F.bool_and("others").alias("others"))
+    touched = scratch.table(owners.where("erased or not others"), "touched-chunks")
+    found = rows.join(touched, ["file_class", "fp"], "left").withColumns({"erased": F.coalesce("erased", F.lit(False)), "others": F.coalesce("others", F.lit(True))})
+    files = found.groupBy("seq", "subject", "file_class").agg(F.bool_or("erased").alias("erased"), F.bool_and("others").alias("others"))
     alike = files.groupBy("file_class", _mine().alias("mine"), _theirs().alias("theirs"), "erased", "others").agg(F.count("*").alias("n"))
     modes = []
     for mode, wrap, policy in MODES:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lethe.functions import columns as C
+from lethe.plans import scratch
 
 #: The person whose erasure the space queries account for, and the word that names them in mixed files.
 ERASED, TOKEN = "src0", "user"
@@ -16,7 +17,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, tenant, subject, snapshot_id, path, data, n_bytes, pieces, file_class of each document.
 
     A text found under several sources is identical, else unique.  Sources are compared by the hash
-    of the text, aggregated before the shuffle, so texts stay where they are read.
+    of the text, aggregated before the shuffle, so texts stay where they are read.  The hashes of several
+    sources are written before they are joined: a join of two scans is broadcast if they turn out few,
+    and the rows of a frequent text are split over tasks if not.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -25,7 +28,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length(data).cast("long").alias("n_bytes"), C.piece_structs(data).alias("pieces"), F.sha2(data, 256).alias("whole"),
     )
     owners = rows.groupBy("whole").agg((F.min("subject") != F.max("subject")).alias("several"))
-    return rows.join(owners, "whole").withColumn("file_class", F.when(F.col("several"), "identical").otherwise("unique")).drop("whole", "several")
+    several = scratch.table(owners.where("several"), "several-sources")
+    return rows.join(several, "whole", "left").withColumn("file_class", F.when(F.col("several"), "identical").otherwise("unique")).drop("whole", "several")
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
