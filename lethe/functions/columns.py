@@ -1,9 +1,11 @@
-"""Column functions of the engine; all run in the JVM but random keys."""
+"""Column functions of the engine; all run in the JVM but random keys and secrets."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,13 +89,39 @@ def random_key() -> Column:
     return F.pandas_udf(_random_keys, T.BinaryType()).asNondeterministic()(F.lit(1))
 
 
-def ephemeral_key() -> Column:
-    """A 256-bit key that lives in this process and its tasks alone: it stands in no plan and in no file."""
+def place_secrets() -> Callable[[Column], Column]:
+    """A function of a binary column: 64 bytes that belong to it, an HMAC-SHA-512 with a key of this call.
+
+    The key lives in this process and its tasks alone: it stands in no plan and in no file.
+    """
     import secrets
 
     key = secrets.token_bytes(32)
 
-    def same(rows: pd.Series) -> pd.Series:
-        return pd.Series([key] * len(rows))
+    def digest(places: pd.Series) -> pd.Series:
+        import hashlib
+        import hmac
+
+        return places.map(lambda place: hmac.digest(key, bytes(place), hashlib.sha512))
+
+    return F.pandas_udf(digest, T.BinaryType())
+
+
+#: 64-bit words of a mask; one mask takes 1 MB.
+MASK_WORDS = 1 << 17
+
+
+def mask(ids: DataFrame, column: str) -> DataFrame:
+    """One row, ``mask``: a bit for each hash of the column's values, so ``in_mask`` misses none of them."""
+    at = F.pmod(F.xxhash64(column), F.lit(MASK_WORDS * 64))
+    words = ids.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits"))
+    every = ids.sparkSession.range(MASK_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("word"))
+    rows = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.join(words, "word", "left").agg(F.transform(rows, lambda x: x["bits"]).alias("mask"))
+
 
-    return F.pandas_udf(same, T.BinaryType())(F.lit(1))
+def in_mask(column: str) -> Column:
+    """Whether a value may be one of those of the mask; a few others seem to be."""
+    at = F.pmod(F.xxhash64(column), F.lit(MASK_WORDS * 64))
+    word = F.get("mask", F.floor(at / 64).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1

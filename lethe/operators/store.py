@@ -4,9 +4,11 @@ Recipes and encrypted chunks are only ever appended.  Data keys exist only wrapp
 keys; wraps, keys and fingerprints live in tables whose old files are deleted on every change, so
 erasing a subject makes their chunks unreadable while the chunk log stays as it is.
 
-What an ingest or an erasure writes to scratch tables is encrypted with a key that only this process
-has, and is deleted at the end, after an error too.  Wraps and keys are appended; only an erasure
-rewrites them.  One writer at a time: a change on top of another's raises RuntimeError.
+An ingest reads its files twice: once for the fingerprints of their pieces, and once to write the chunks
+that are new.  Chunk ids and data keys are HMACs of a piece's place with a key that only this process has,
+so a piece is encrypted where it is read, and only files with a piece stored elsewhere are shuffled, encrypted.
+Scratch tables hold fingerprints and encrypted chunks, and are deleted at the end, after an error too.
+Wraps and keys are appended; only an erasure rewrites them.  One writer at a time: a change on top of another's raises RuntimeError.
 
 Choices where the specification and older behaviour differ: pins are derived from live holds at any
 time, so a recipe ingested after a hold is pinned too; a hold id is used once; with ``spec_holds``
@@ -21,7 +23,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as Win
 
@@ -79,67 +81,96 @@ class Store:
         batch = before.where("(subject <> first.subject and first.seq < seq) or (subject = first.subject and other_seq < seq)").select("seq", "path", "fp")
         return stored.union(batch).distinct()
 
-    def ingest(self, rows: DataFrame, *, state: dict | None = None) -> None:
+    def ingest(self, rows: DataFrame, *, relabel: Callable[[DataFrame], DataFrame] | None = None, state: dict | None = None) -> None:
         """Append files (seq, subject, snapshot_id, path, data, file_class); seq gives their order.
 
+        ``relabel`` makes of the files' pieces (seq, subject, file_class, fp) a table of (seq, file_class) of those
+        files that have another class than ``rows`` say.  ``rows`` must be the same each time they are read.
+
         Raises ValueError, with nothing written, if a class is unknown, a seq is null or repeated, a
         unique file is somebody else's too, or a subject's erasure is pending.
         """
         with scratch.scope(), self.tables.staging():
-            self._ingest(rows, state)
-
-    def _ingest(self, rows: DataFrame, state: dict | None) -> None:
-        unknown = rows.where(~F.coalesce(F.col("file_class").isin(*C.CLASSES), F.lit(False))).select("file_class").first()
+            self._ingest(rows, relabel, state)
+
+    def _ingest(self, rows: DataFrame, relabel: Callable[[DataFrame], DataFrame] | None, state: dict | None) -> None:
+        t, secret = self.tables, C.place_secrets()
+        base = t.state.get("next_recipe", 0)
+        rows = rows.withColumn("recipe_id", F.col("seq") + base)
+        chunks = scratch.table(self._sealed(rows, secret).drop("payload"), "pieces").withColumn("moved", F.lit(False))
+        if relabel is not None:
+            labels = scratch.table(relabel(chunks.select("seq", "subject", "file_class", "fp")).select("seq", F.col("file_class").alias("label")), "labels")
+            chunks = chunks.join(labels, "seq", "left").withColumns({"file_class": F.coalesce("label", "file_class"), "moved": F.col("label").isNotNull()})
+        files = chunks.where("pos = 0")
+        unknown = files.where(~F.coalesce(F.col("file_class").isin(*C.CLASSES), F.lit(False))).select("file_class").first()
         if unknown:
             raise ValueError(f"file_class must be one of {', '.join(C.CLASSES)}, not {unknown[0]!r}")
-        if waits := rows.join(self.tables.read("pending"), "subject", "left_semi").select("subject").first():
+        if waits := files.join(t.read("pending"), "subject", "left_semi").select("subject").first():
             raise ValueError(f"the erasure of {waits[0]!r} is pending")
-        if twice := rows.groupBy("seq").count().where("count > 1 or seq is null").select("seq").first():
+        if twice := files.groupBy("seq").count().where("count > 1 or seq is null").select("seq").first():
             raise ValueError(f"seq must be unique, {twice[0]} isn't")
-        share = C.shares("file_class", self.config.wrap_mode, self.config.mixed_policy)
-        base = self.tables.state.get("next_recipe", 0)
-        key = C.ephemeral_key()
-        chunks = self._pieces(rows.withColumn("recipe_id", F.col("seq") + base).withColumn("share", share), key)
         if lied := self.conflicts(chunks.select("seq", "subject", "path", "file_class", "fp")).orderBy("seq").first():
             raise ValueError(f"unique label conflict: {lied['path']!r} holds content of another subject")
-        placed, new, wraps, keys = self._place(chunks, key)
+        placed, made = self._place(chunks.withColumn("share", C.shares("file_class", self.config.wrap_mode, self.config.mixed_policy)))
         body = placed.groupBy("recipe_id", "subject", "snapshot_id", "path", "file_class").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"), F.sum("n").cast("long").alias("n_bytes"))
+        recipes = t.stage("recipes", body)
+        body = t.read_file("recipes", recipes)
         flags = body.select("recipe_id", F.lit(False).alias("erased"), F.lit(False).alias("unrestorable"))
-        t = self.tables
-        append = {"recipes": t.stage("recipes", body), "recipe_flags": t.stage("recipe_flags", flags), "chunk_log": t.stage("chunk_log", new), "fp_index": t.stage("fp_index", new), "wraps": t.stage("wraps", wraps), "subject_keys": keys}
+        wraps, keys = self._wrapped(body.select(F.explode("chunk_ids").alias("chunk_id"), "subject"), made, secret)
+        append = {"recipes": recipes, "recipe_flags": t.stage("recipe_flags", flags), "chunk_log": self._stage_new(rows, chunks, made, secret), "fp_index": t.stage("fp_index", made), "wraps": t.stage("wraps", wraps), "subject_keys": keys}
         top = chunks.agg(F.max("recipe_id")).first()[0]
         t.commit(append=append, state={"next_recipe": base if top is None else top + 1} | (state or {}))
 
-    def _pieces(self, rows: DataFrame, key: Column) -> DataFrame:
-        """One written row for each piece of ``data``, sealed with ``key``, with its position, fingerprint and length n."""
-        cut = rows.select("*", F.posexplode(C.pieces("data")).alias("pos", "plain")).withColumn("key", key)
-        cut = cut.select("*", C.fingerprint("plain").alias("fp"), F.octet_length("plain").cast("long").alias("n"), F.aes_encrypt("plain", "key").alias("piece"))
-        return scratch.table(cut.drop("data", "plain", "key"), "sealed-chunks")
+    def _sealed(self, rows: DataFrame, secret: Callable[[Column], Column]) -> DataFrame:
+        """One row for each piece of ``data``, with its position, fingerprint, length n, encrypted payload, and the chunk id it has if it is stored."""
+        cut = rows.select("*", F.posexplode(C.pieces("data")).alias("pos", "plain")).withColumn("secret", secret(self._spot()))
+        id_ = F.lower(F.hex(F.substring("secret", 33, 16)))
+        return cut.select(*[c for c in rows.columns if c != "data"], "pos", C.fingerprint("plain").alias("fp"), F.octet_length("plain").cast("long").alias("n"), id_.alias("chunk_id"), F.aes_encrypt("plain", F.substring("secret", 1, 32)).alias("payload"))
 
-    def _place(self, chunks: DataFrame, key: Column) -> tuple[DataFrame, DataFrame, DataFrame, str]:
-        """Chunks with their ids; new chunks; new wraps; the staged file of new subjects' keys."""
-        t = self.tables
-        live = self._live_wraps()
-        usable = t.read("fp_index").join(live.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("fp", "file_class").agg(F.min("chunk_id").alias("old_id"))
+    @staticmethod
+    def _spot() -> Column:
+        return F.concat_ws(":", F.col("recipe_id").cast("string"), F.col("pos").cast("string")).cast("binary")
+
+    def _place(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Chunks with the ids of what they are stored as; the chunks that are new, each at the first of its places."""
+        usable = self.tables.read("fp_index").join(self._live_wraps().select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("fp", "file_class").agg(F.min("chunk_id").alias("old_id"))
         keyed = chunks.join(usable, ["fp", "file_class"], "left").withColumn("old_id", F.when(F.col("share"), F.col("old_id")))
         keyed = keyed.withColumn("own", F.when(~F.col("share"), F.concat_ws(":", F.col("recipe_id").cast("string"), F.col("pos").cast("string"))).otherwise(F.lit("")))
-        fresh = keyed.where("old_id is null").groupBy("fp", "file_class", "own").agg(F.first("piece").alias("piece"), F.first("n").alias("n"))
-        # ids and data keys are random, so they are written before they are used twice, the keys sealed
-        fresh = fresh.select("*", F.uuid().alias("chunk_id"), C.random_key().alias("dek"), key.alias("key"))
-        made = scratch.table(fresh.select("fp", "file_class", "own", "piece", "n", "chunk_id", F.aes_encrypt("dek", "key").alias("dek")), "sealed-new")
-        opened = made.withColumn("key", key).withColumn("dek", F.aes_decrypt("dek", "key"))
-        new = opened.select("chunk_id", F.aes_encrypt(F.aes_decrypt("piece", "key"), "dek").alias("payload"), F.col("n").alias("n_bytes"), "file_class", "fp")
-        placed = keyed.join(made.select("fp", "file_class", "own", "chunk_id"), ["fp", "file_class", "own"], "left").withColumn("chunk_id", F.coalesce("old_id", "chunk_id"))
-        placed = placed.select("recipe_id", "subject", "snapshot_id", "path", "file_class", "pos", "chunk_id", "n")
+        first = F.min(F.struct("recipe_id", "pos", "chunk_id", "n")).alias("first")
+        made = scratch.table(keyed.where("old_id is null").groupBy("fp", "file_class", "own").agg(first).select("fp", "file_class", "own", "first.*"), "new-chunks")
+        placed = keyed.drop("chunk_id").join(made.select("fp", "file_class", "own", "chunk_id"), ["fp", "file_class", "own"], "left").withColumn("chunk_id", F.coalesce("old_id", "chunk_id"))
+        return placed.select("recipe_id", "subject", "snapshot_id", "path", "file_class", "pos", "chunk_id", "n"), made
+
+    def _stage_new(self, rows: DataFrame, chunks: DataFrame, made: DataFrame, secret: Callable[[Column], Column]) -> str:
+        """Write the payloads of the new chunks; only files with a piece that is stored elsewhere, or of another class, are looked up."""
+        here = made.select("recipe_id", "pos", F.lit(True).alias("here"))
+        apart = chunks.join(here, ["recipe_id", "pos"], "left").where("here is null or moved").select("recipe_id")
+        mask = F.broadcast(scratch.table(C.mask(apart, "recipe_id"), "apart"))
+        asked = C.in_mask("recipe_id")
+        found = made.join(mask, asked, "left_semi").select("chunk_id", F.col("file_class").alias("label")).hint("shuffle_hash")
+        some = self._sealed(rows.join(mask, asked, "left_semi"), secret).join(found, "chunk_id").withColumn("file_class", F.col("label"))
+        names = ["chunk_id", "fp", "file_class", "payload", F.col("n").alias("n_bytes")]
+        new = self._sealed(rows.join(mask, asked, "left_anti"), secret).select(names).union(some.select(names))
+        total = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("chunk_id", "fp", "file_class", "n_bytes")).alias("sum")]
+        seen = Observation()
+        staged = self.tables.stage("chunk_log", new.observe(seen, *total))
+        wanted = made.withColumn("n_bytes", F.col("n")).agg(*total).first()
+        if (seen.get["n"], seen.get["sum"]) != (wanted["n"], wanted["sum"]):
+            raise RuntimeError("the files changed while they were ingested")
+        return staged
+
+    def _wrapped(self, owned: DataFrame, made: DataFrame, secret: Callable[[Column], Column]) -> tuple[DataFrame, str]:
+        """New wraps of owned chunks (chunk_id, subject); the staged file of new subjects' keys."""
+        t = self.tables
         known = t.read("subject_keys").where("key is not null")
-        missing = chunks.select("subject").distinct().join(known, "subject", "left_anti")
+        missing = owned.select("subject").distinct().join(known, "subject", "left_anti")
         staged = t.stage("subject_keys", missing.select("subject", C.random_key().alias("key")))
         keys = known.union(t.read_file("subject_keys", staged))
-        wanted = placed.select("chunk_id", "subject").distinct().join(t.read("wraps"), ["chunk_id", "subject"], "left_anti")
-        old = wanted.select("chunk_id").distinct().join(live, "chunk_id").withColumn("dek", F.expr("try_aes_decrypt(wrapped, key)")).where("dek is not null").groupBy("chunk_id").agg(F.min("dek").alias("dek"))
-        deks = opened.select("chunk_id", "dek").union(old.select("chunk_id", "dek"))
-        wrapped = wanted.join(deks, "chunk_id").join(keys, "subject").select("chunk_id", "subject", F.aes_encrypt("dek", "key").alias("wrapped"))
-        return placed, new, wrapped, staged
+        wanted = owned.distinct().join(t.read("wraps"), ["chunk_id", "subject"], "left_anti")
+        old = wanted.select("chunk_id").distinct().join(self._live_wraps(), "chunk_id").withColumn("dek", F.expr("try_aes_decrypt(wrapped, key)")).where("dek is not null").groupBy("chunk_id").agg(F.min("dek").alias("dek"))
+        fresh = wanted.join(made.select("chunk_id", "recipe_id", "pos"), "chunk_id").withColumn("dek", F.substring(secret(self._spot()), 1, 32))
+        opened = fresh.select("chunk_id", "subject", "dek").union(wanted.join(old, "chunk_id").select("chunk_id", "subject", "dek"))
+        return opened.join(keys, "subject").select("chunk_id", "subject", F.aes_encrypt("dek", "key").alias("wrapped")), staged
 
     def _live_wraps(self) -> DataFrame:
         """Wraps whose owner's key is there, with the key."""
@@ -147,17 +178,24 @@ class Store:
 
     # -- restore --------------------------------------------------------------------------------
 
-    def _assembled(self, wanted: DataFrame) -> DataFrame:
-        """recipe_id and data (null if any chunk can't be read) of (recipe_id, subject, chunk_ids)."""
-        plain = self._opened(wanted).join(self.tables.read("chunk_log").select("chunk_id", "payload"), "chunk_id", "left").withColumn("plain", F.expr("try_aes_decrypt(payload, dek)"))
-        whole = plain.groupBy("recipe_id").agg(F.expr("listagg(plain) within group (order by pos)").alias("data"), (F.count("plain") == F.count("*")).alias("all"))
+    def _assembled(self, wanted: DataFrame, *, few: bool = False) -> DataFrame:
+        """recipe_id and data (null if any chunk can't be read) of (recipe_id, subject, chunk_ids).
+
+        Payloads are sent twice and not sorted for a join.  ``few``: only those that may be wanted are sent.
+        """
+        log = self.tables.read("chunk_log").select("chunk_id", "payload")
+        if few:
+            mask = scratch.table(C.mask(wanted.select(F.explode("chunk_ids").alias("chunk_id")), "chunk_id"), "wanted-chunks")
+            log = log.join(F.broadcast(mask), C.in_mask("chunk_id"), "left_semi")
+        plain = self._opened(wanted).where("dek is not null").hint("shuffle_hash").join(log, "chunk_id").withColumn("plain", F.expr("try_aes_decrypt(payload, dek)"))
+        whole = plain.groupBy("recipe_id").agg(F.expr("listagg(plain) within group (order by pos)").alias("data"), (F.count("plain") == F.max("pieces")).alias("all"))
         return whole.select("recipe_id", F.when(F.col("all"), F.col("data")).alias("data"))
 
     def _opened(self, wanted: DataFrame) -> DataFrame:
-        """recipe_id, pos, chunk_id and data key (null if lost) of each chunk of (recipe_id, subject, chunk_ids); no payload is read."""
-        chunks = wanted.select("recipe_id", "subject", F.posexplode("chunk_ids").alias("pos", "chunk_id"))
+        """recipe_id, pos, chunk_id, data key (null if lost) and the file's number of pieces of each chunk of (recipe_id, subject, chunk_ids); no payload is read."""
+        chunks = wanted.select("recipe_id", "subject", F.size("chunk_ids").alias("pieces"), F.posexplode("chunk_ids").alias("pos", "chunk_id"))
         keyed = chunks.join(self._live_wraps(), ["chunk_id", "subject"], "left")
-        return keyed.select("recipe_id", "pos", "chunk_id", F.expr("try_aes_decrypt(wrapped, key)").alias("dek"))
+        return keyed.select("recipe_id", "pos", "chunk_id", F.expr("try_aes_decrypt(wrapped, key)").alias("dek"), "pieces")
 
     def files(self, subject: str | None = None, snapshot_id: str | None = None) -> DataFrame:
         """The last file of each path: subject, snapshot_id, path, data, ok, unrestorable, contains_erased_subject, reason, flagged.
@@ -180,7 +218,7 @@ class Store:
         one = Win.partitionBy("subject", "snapshot_id", "path").orderBy(F.desc("recipe_id"))
         last = rows.withColumn("k", F.row_number().over(one)).where("k = 1")  # bytes of other versions are never read
         data = self._assembled(last.where("chunk_ids is not null").select("recipe_id", "subject", "chunk_ids"))
-        last = last.join(data, "recipe_id", "left").withColumn("contains_erased_subject", carries & F.col("data").isNotNull())
+        last = last.hint("shuffle_hash").join(data, "recipe_id", "left").withColumn("contains_erased_subject", carries & F.col("data").isNotNull())
         last = last.withColumn("reason", F.when((F.col("reason") == "") & F.col("data").isNull(), "missing-key").otherwise(F.col("reason")))
         if waiting:
             keys = self._opened(rows.where(carries).select("recipe_id", "subject", "chunk_ids")).groupBy("recipe_id").agg((F.count("dek") == F.count("*")).alias("open"))
@@ -302,14 +340,16 @@ class Store:
             now = recipes.join(copies.select("recipe_id", F.col("chunk_ids").alias("copied")), "recipe_id", "left").select("recipe_id", "subject", "snapshot_id", "path", F.coalesce("copied", "chunk_ids").alias("chunk_ids"))
             shredded = recipes.select(F.explode("chunk_ids").alias("chunk_id")).union(now.select(F.explode("chunk_ids").alias("chunk_id"))).distinct()
             if config.mixed_policy == "copy-out-mixed" and config.redactor is not None:
-                plain = self._assembled(now).where("data is not null").join(now.drop("chunk_ids"), "recipe_id")
-                redacted = plain.withColumn("data", self._redacted(subject)).withColumn("file_class", F.lit("unique")).withColumn("share", F.lit(False)).withColumn("seq", F.col("recipe_id"))
-                key = C.ephemeral_key()
-                placed, new, extra, keys = self._place(self._pieces(redacted, key), key)
+                plain = self._assembled(now, few=True).where("data is not null").join(now.drop("chunk_ids"), "recipe_id")
+                redacted = plain.withColumn("data", self._redacted(subject)).withColumn("file_class", F.lit("unique"))
+                secret = C.place_secrets()
+                sealed = scratch.table(self._sealed(redacted, secret), "sealed-copies")
+                placed, fresh = self._place(sealed.drop("payload").withColumn("share", F.lit(False)))
                 made = placed.groupBy("recipe_id", "subject", "snapshot_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+                extra, _ = self._wrapped(placed.select("chunk_id", "subject"), fresh, secret)
                 copies = copies.join(made.select("recipe_id"), "recipe_id", "left_anti").unionByName(made)
-                append["chunk_log"] = t.stage("chunk_log", new)
-                index = index.unionByName(new.select("fp", "file_class", "chunk_id"))
+                append["chunk_log"] = t.stage("chunk_log", sealed.withColumnRenamed("n", "n_bytes"))
+                index = index.unionByName(fresh.select("fp", "file_class", "chunk_id"))
             destroyed = recipes
         else:
             shredded, destroyed = touched.where("false"), destroyed.where("false")
@@ -347,7 +387,7 @@ class Store:
         wraps = self._live_wraps()
         wraps = wraps if exclude_subject is None else wraps.where(F.col("subject") != exclude_subject)
         opened = wraps.withColumn("dek", F.expr("try_aes_decrypt(wrapped, key)")).where("dek is not null").groupBy("chunk_id").agg(F.min("dek").alias("dek"))
-        return opened.join(self.tables.read("chunk_log"), "chunk_id").select("chunk_id", F.expr("try_aes_decrypt(payload, dek)").alias("plain")).where("plain is not null")
+        return opened.hint("shuffle_hash").join(self.tables.read("chunk_log"), "chunk_id").select("chunk_id", F.expr("try_aes_decrypt(payload, dek)").alias("plain")).where("plain is not null")
 
     def stats(self) -> DataFrame:
         """physical_bytes, live_bytes, n_chunks, n_live_chunks, n_recipes; payloads aren't read."""

@@ -1,8 +1,8 @@
 """Queries that run the store and the container parsers themselves over the driver's tables.
 
-Each policy's store is built once for a session and folder: all documents and transcripts are
-ingested, encrypted and wrapped, one subject is erased, and the queries look at what the keys that are
-left can open.  Their DuckDB SQL is written from the policies' definitions and shares no text with them.
+Each query builds its policy's store anew, so what it costs doesn't depend on queries before it: all
+documents and transcripts are ingested, encrypted and wrapped, one subject is erased, and the query looks at
+what the keys that are left can open.  Their DuckDB SQL is written from the policies' definitions and shares no text with them.
 """
 
 from __future__ import annotations
@@ -27,41 +27,38 @@ POLICIES = {
     "drop_unmixed": ("or-wrap", "drop-for-both", "src1"),
 }
 HOLDS = (("h1", "src1", None, None), ("h2", None, "t3", None), ("h3", None, None, "doc/7"), ("h4", "src2", "t0", None))
-_STORES: dict[tuple[str, str, str], Store] = {}
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, subject, snapshot_id, path, data, file_class; a document is identical if another subject has one of its pieces."""
+    """seq, subject, snapshot_id, path, data, file_class; documents are unique but those that ``identical`` finds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("seq"), F.col("source").alias("subject"), F.concat(F.lit("t"), F.expr("doc_id div 12")).alias("snapshot_id"), F.concat(F.lit("doc/"), F.col("doc_id")).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("data"),
     )
     talks = mapping.transcripts(spark, sf_dir).select("conv_id", "data", F.posexplode("roles").alias("k", "role"))
     talks = talks.select(
         (F.lit(mapping.MIXED_FROM) + F.col("conv_id") * 10 + F.col("k")).cast("long").alias("seq"), F.when(F.col("role") == mapping.TOKEN, mapping.ERASED).otherwise(F.col("role")).alias("subject"),
-        F.lit("chat").alias("snapshot_id"), F.concat(F.lit("chat/"), F.col("conv_id")).alias("path"), "data", F.lit(True).alias("mixed"),
+        F.lit("chat").alias("snapshot_id"), F.concat(F.lit("chat/"), F.col("conv_id")).alias("path"), "data", F.lit("mixed").alias("file_class"),
     )
-    rows = docs.withColumn("mixed", F.lit(False)).unionByName(talks)
-    pieces = rows.select("seq", "subject", F.explode(C.piece_structs("data")).alias("p")).select("seq", "subject", "p.fp")
+    return docs.withColumn("file_class", F.lit("unique")).unionByName(talks)
+
+
+def identical(pieces: DataFrame) -> DataFrame:
+    """seq, file_class of the documents of a log's pieces that are identical: another subject has one of their pieces."""
     several = pieces.groupBy("fp").agg((F.min("subject") != F.max("subject")).alias("several")).where("several").select("fp")
-    shared = pieces.join(several, "fp", "left_semi").select("seq").distinct().withColumn("shared", F.lit(True))
-    kind = F.when(F.col("mixed"), "mixed").when(F.col("shared"), "identical").otherwise("unique")
-    return rows.join(shared, "seq", "left").select("seq", "subject", "snapshot_id", "path", "data", kind.alias("file_class"))
+    return pieces.where("file_class <> 'mixed'").join(several, "fp", "left_semi").select("seq").distinct().withColumn("file_class", F.lit("identical"))
 
 
 def store(spark: SparkSession, sf_dir: str, policy: str) -> Store:
-    """The store of a policy after its erasure; ``held``: no sharing, live holds, and an erasure that they defer."""
-    key = (spark.sparkContext.applicationId, sf_dir, policy)
-    if key not in _STORES:
-        wrap, mixed, erased = POLICIES.get(policy, ("no-cross-user", "never-share", "src1"))
-        redactor = (lambda data, subject: C.strip_lines(data, F.lit(mapping.TOKEN))) if mixed == "copy-out-mixed" else None
-        made = Store(spark, scratch.new_path(spark, "store"), StoreConfig(wrap, mixed, redactor))
-        made.ingest(log(spark, sf_dir))
-        if policy == "held":
-            for name, subject, snapshot_id, path in HOLDS:
-                made.hold(name, subject=subject, snapshot_id=snapshot_id, path=path)
-        made.erase(erased)
-        _STORES[key] = made
-    return _STORES[key]
+    """A policy's store after its erasure; ``held``: no sharing, live holds, and an erasure that they defer."""
+    wrap, mixed, erased = POLICIES.get(policy, ("no-cross-user", "never-share", "src1"))
+    redactor = (lambda data, subject: C.strip_lines(data, F.lit(mapping.TOKEN))) if mixed == "copy-out-mixed" else None
+    made = Store(spark, scratch.new_path(spark, "store"), StoreConfig(wrap, mixed, redactor))
+    made.ingest(log(spark, sf_dir), relabel=identical)
+    if policy == "held":
+        for name, subject, snapshot_id, path in HOLDS:
+            made.hold(name, subject=subject, snapshot_id=snapshot_id, path=path)
+    made.erase(erased)
+    return made
 
 
 def _restored(policy: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -40,3 +40,12 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (5, 5), (60, 61), (61, 60), (500, 501), (500, 502), (503, 501)]
     got = {r["node"]: r["label"] for r in components.labels(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {200: 100, 300: 100, 61: 60, 501: 500, 502: 500, 503: 500}
+
+
+def test_masks_miss_nothing(spark):
+    """Every id is in its mask, of other ids hardly any; a mask of none has no bit."""
+    ids = spark.range(-5000, 5000)
+    mask = C.mask(ids, "id")
+    assert ids.join(F.broadcast(mask), C.in_mask("id"), "left_semi").count() == 10000
+    assert spark.range(10000, 60000).join(F.broadcast(mask), C.in_mask("id"), "left_semi").count() < 500
+    assert ids.join(F.broadcast(C.mask(ids.limit(0), "id")), C.in_mask("id"), "left_anti").count() == 10000

@@ -80,3 +80,11 @@ def test_entry_without_the_training_operators(monkeypatch, missing):
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
+
+
+def test_each_query_has_a_store_of_its_own(spark):
+    """What a query costs and gives doesn't depend on those that ran before it."""
+    one, two = (store_queries.store(spark, DATA, "drop") for _ in range(2))
+    assert one.tables.root != two.tables.root
+    two.erase("src2")
+    assert one.files("src2").where("ok").count() and not two.files("src2").where("ok").count()
