@@ -1,4 +1,4 @@
-"""Column functions of the engine; all run in the JVM but random keys and secrets."""
+"""Column functions of the engine; all run in the JVM but random keys, secrets, and the packing of pieces."""
 
 from __future__ import annotations
 
@@ -107,6 +107,46 @@ def place_secrets() -> Callable[[Column], Column]:
     return F.pandas_udf(digest, T.BinaryType())
 
 
+def _packed(data: bytes | None) -> bytes | None:
+    import zlib
+
+    if data is None:
+        return None
+    body = zlib.compress(data, 1)
+    return len(body).to_bytes(4, "big") + body
+
+
+def _unpacked(packed: bytes | None) -> bytes | None:
+    import zlib
+
+    if packed is None:
+        return None
+    view, at, found = memoryview(packed), 0, []
+    while at < len(view):
+        end = at + 4 + int.from_bytes(view[at : at + 4], "big")
+        found.append(zlib.decompress(view[at + 4 : end]))
+        at = end
+    return b"".join(found)
+
+
+def pack(piece: Column | str) -> Column:
+    """A piece compressed, behind its packed length; packed pieces may be joined end to end."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(_packed)
+
+    return F.pandas_udf(run, T.BinaryType())(piece)
+
+
+def unpack(packed: Column | str) -> Column:
+    """The bytes of a piece, or of all that are joined; null stays null."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(_unpacked)
+
+    return F.pandas_udf(run, T.BinaryType())(packed)
+
+
 #: 64-bit words of a mask; one mask takes 1 MB.
 MASK_WORDS = 1 << 17
 

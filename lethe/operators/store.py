@@ -6,7 +6,8 @@ erasing a subject makes their chunks unreadable while the chunk log stays as it
 
 An ingest reads its files twice: once for the fingerprints of their pieces, and once to write the chunks
 that are new.  Chunk ids and data keys are HMACs of a piece's place with a key that only this process has,
-so a piece is encrypted where it is read, and only files with a piece stored elsewhere are shuffled, encrypted.
+so a piece is packed and encrypted where it is read, and only files with a piece stored elsewhere are shuffled, encrypted.
+Payloads are packed pieces, encrypted; ``n_bytes`` and all statistics count the bytes of the pieces themselves.
 Scratch tables hold fingerprints and encrypted chunks, and are deleted at the end, after an error too.
 Wraps and keys are appended; only an erasure rewrites them.  One writer at a time: a change on top of another's raises RuntimeError.
 
@@ -125,7 +126,7 @@ class Store:
         """One row for each piece of ``data``, with its position, fingerprint, length n, encrypted payload, and the chunk id it has if it is stored."""
         cut = rows.select("*", F.posexplode(C.pieces("data")).alias("pos", "plain")).withColumn("secret", secret(self._spot()))
         id_ = F.lower(F.hex(F.substring("secret", 33, 16)))
-        return cut.select(*[c for c in rows.columns if c != "data"], "pos", C.fingerprint("plain").alias("fp"), F.octet_length("plain").cast("long").alias("n"), id_.alias("chunk_id"), F.aes_encrypt("plain", F.substring("secret", 1, 32)).alias("payload"))
+        return cut.select(*[c for c in rows.columns if c != "data"], "pos", C.fingerprint("plain").alias("fp"), F.octet_length("plain").cast("long").alias("n"), id_.alias("chunk_id"), F.aes_encrypt(C.pack("plain"), F.substring("secret", 1, 32)).alias("payload"))
 
     @staticmethod
     def _spot() -> Column:
@@ -179,17 +180,17 @@ class Store:
     # -- restore --------------------------------------------------------------------------------
 
     def _assembled(self, wanted: DataFrame, *, few: bool = False) -> DataFrame:
-        """recipe_id and data (null if any chunk can't be read) of (recipe_id, subject, chunk_ids).
+        """recipe_id and the file's packed pieces (null if any chunk can't be read) of (recipe_id, subject, chunk_ids).
 
-        Payloads are sent twice and not sorted for a join.  ``few``: only those that may be wanted are sent.
+        Payloads are sent twice and not sorted for a join; unpacking them would undo how the rows are dealt, so it comes last.  ``few``: only those that may be wanted are sent.
         """
         log = self.tables.read("chunk_log").select("chunk_id", "payload")
         if few:
             mask = scratch.table(C.mask(wanted.select(F.explode("chunk_ids").alias("chunk_id")), "chunk_id"), "wanted-chunks")
             log = log.join(F.broadcast(mask), C.in_mask("chunk_id"), "left_semi")
-        plain = self._opened(wanted).where("dek is not null").hint("shuffle_hash").join(log, "chunk_id").withColumn("plain", F.expr("try_aes_decrypt(payload, dek)"))
-        whole = plain.groupBy("recipe_id").agg(F.expr("listagg(plain) within group (order by pos)").alias("data"), (F.count("plain") == F.max("pieces")).alias("all"))
-        return whole.select("recipe_id", F.when(F.col("all"), F.col("data")).alias("data"))
+        opened = self._opened(wanted).where("dek is not null").hint("shuffle_hash").join(log, "chunk_id").withColumn("packed", F.expr("try_aes_decrypt(payload, dek)"))
+        whole = opened.groupBy("recipe_id").agg(F.expr("listagg(packed) within group (order by pos)").alias("packed"), (F.count("packed") == F.max("pieces")).alias("all"))
+        return whole.select("recipe_id", F.when(F.col("all"), F.col("packed")).alias("packed"))
 
     def _opened(self, wanted: DataFrame) -> DataFrame:
         """recipe_id, pos, chunk_id, data key (null if lost) and the file's number of pieces of each chunk of (recipe_id, subject, chunk_ids); no payload is read."""
@@ -218,15 +219,15 @@ class Store:
         one = Win.partitionBy("subject", "snapshot_id", "path").orderBy(F.desc("recipe_id"))
         last = rows.withColumn("k", F.row_number().over(one)).where("k = 1")  # bytes of other versions are never read
         data = self._assembled(last.where("chunk_ids is not null").select("recipe_id", "subject", "chunk_ids"))
-        last = last.hint("shuffle_hash").join(data, "recipe_id", "left").withColumn("contains_erased_subject", carries & F.col("data").isNotNull())
-        last = last.withColumn("reason", F.when((F.col("reason") == "") & F.col("data").isNull(), "missing-key").otherwise(F.col("reason")))
+        last = last.hint("shuffle_hash").join(data, "recipe_id", "left").withColumn("contains_erased_subject", carries & F.col("packed").isNotNull())
+        last = last.withColumn("reason", F.when((F.col("reason") == "") & F.col("packed").isNull(), "missing-key").otherwise(F.col("reason")))
         if waiting:
             keys = self._opened(rows.where(carries).select("recipe_id", "subject", "chunk_ids")).groupBy("recipe_id").agg((F.count("dek") == F.count("*")).alias("open"))
             flagged = rows.where(carries).join(keys.where("open"), "recipe_id").select("subject", "snapshot_id").distinct().withColumn("flagged", F.lit(True))
             last = last.join(flagged, ["subject", "snapshot_id"], "left")
         else:
             last = last.withColumn("flagged", F.lit(False))
-        return last.select("subject", "snapshot_id", "path", "data", F.col("data").isNotNull().alias("ok"), (F.col("reason") == "immutable-mixed").alias("unrestorable"), "contains_erased_subject", "reason", F.coalesce("flagged", F.lit(False)).alias("flagged"))
+        return last.select("subject", "snapshot_id", "path", C.unpack("packed").alias("data"), F.col("packed").isNotNull().alias("ok"), (F.col("reason") == "immutable-mixed").alias("unrestorable"), "contains_erased_subject", "reason", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
     def restore(self, subject: str, snapshot_id: str) -> DataFrame:
         """path, data, ok, unrestorable, contains_erased_subject, reason of a subject's snapshot."""
@@ -340,8 +341,8 @@ class Store:
             now = recipes.join(copies.select("recipe_id", F.col("chunk_ids").alias("copied")), "recipe_id", "left").select("recipe_id", "subject", "snapshot_id", "path", F.coalesce("copied", "chunk_ids").alias("chunk_ids"))
             shredded = recipes.select(F.explode("chunk_ids").alias("chunk_id")).union(now.select(F.explode("chunk_ids").alias("chunk_id"))).distinct()
             if config.mixed_policy == "copy-out-mixed" and config.redactor is not None:
-                plain = self._assembled(now, few=True).where("data is not null").join(now.drop("chunk_ids"), "recipe_id")
-                redacted = plain.withColumn("data", self._redacted(subject)).withColumn("file_class", F.lit("unique"))
+                whole = self._assembled(now, few=True).where("packed is not null").join(now.drop("chunk_ids"), "recipe_id")
+                redacted = whole.withColumn("data", C.unpack("packed")).drop("packed").withColumn("data", self._redacted(subject)).withColumn("file_class", F.lit("unique"))
                 secret = C.place_secrets()
                 sealed = scratch.table(self._sealed(redacted, secret), "sealed-copies")
                 placed, fresh = self._place(sealed.drop("payload").withColumn("share", F.lit(False)))
@@ -387,7 +388,7 @@ class Store:
         wraps = self._live_wraps()
         wraps = wraps if exclude_subject is None else wraps.where(F.col("subject") != exclude_subject)
         opened = wraps.withColumn("dek", F.expr("try_aes_decrypt(wrapped, key)")).where("dek is not null").groupBy("chunk_id").agg(F.min("dek").alias("dek"))
-        return opened.hint("shuffle_hash").join(self.tables.read("chunk_log"), "chunk_id").select("chunk_id", F.expr("try_aes_decrypt(payload, dek)").alias("plain")).where("plain is not null")
+        return opened.hint("shuffle_hash").join(self.tables.read("chunk_log"), "chunk_id").withColumn("packed", F.expr("try_aes_decrypt(payload, dek)")).where("packed is not null").select("chunk_id", C.unpack("packed").alias("plain"))
 
     def stats(self) -> DataFrame:
         """physical_bytes, live_bytes, n_chunks, n_live_chunks, n_recipes; payloads aren't read."""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +50,13 @@ def test_masks_miss_nothing(spark):
     assert ids.join(F.broadcast(mask), C.in_mask("id"), "left_semi").count() == 10000
     assert spark.range(10000, 60000).join(F.broadcast(mask), C.in_mask("id"), "left_semi").count() < 500
     assert ids.join(F.broadcast(C.mask(ids.limit(0), "id")), C.in_mask("id"), "left_anti").count() == 10000
+
+
+def test_packed_pieces(spark):
+    """Pieces come back, alone and joined end to end; text takes less than half, other bytes 16 more, null stays null."""
+    text, noise = b"the same words again and again, \n" * 120, random.Random(3).randbytes(4096)
+    frame = spark.createDataFrame([(0, bytearray(text)), (1, bytearray(noise)), (2, bytearray()), (3, None)], "id long, piece binary").withColumn("packed", C.pack("piece"))
+    got = {r["id"]: r for r in frame.select("*", C.unpack("packed").alias("back"), F.octet_length("packed").alias("n")).collect()}
+    assert [got[i]["back"] for i in range(4)] == [text, noise, b"", None] and got[0]["n"] < len(text) / 2 and got[1]["n"] <= 4096 + 16 and got[3]["n"] is None
+    joined = frame.agg(F.expr("listagg(packed) within group (order by id)").alias("all")).select(C.unpack("all").alias("back")).first()
+    assert bytes(joined["back"]) == text + noise
