@@ -147,21 +147,36 @@ def unpack(packed: Column | str) -> Column:
     return F.pandas_udf(run, T.BinaryType())(packed)
 
 
-#: 64-bit words of a mask; one mask takes 1 MB.
-MASK_WORDS = 1 << 17
+#: Bits of a mask for each of its ids, of which each sets ``MASK_PLACES``: one other value in 270 seems to be of the mask.
+MASK_BITS, MASK_PLACES = 32, 2
+#: 64-bit words of a mask at least and at most; the largest takes 16 MB, and with over four million ids more others seem to be of it.
+MASK_LEAST, MASK_MOST = 1 << 8, 1 << 21
+
+
+def _place(value: Column, k: int, words: Column | int) -> Column:
+    return F.pmod(F.xxhash64(value, F.lit(k)), F.lit(words) * 64)
+
+
+def mask_words(n: int) -> int:
+    """Words of the mask of ``n`` ids: a power of two."""
+    return min(MASK_MOST, max(MASK_LEAST, 1 << (max(1, n) * MASK_BITS // 64).bit_length()))
 
 
 def mask(ids: DataFrame, column: str) -> DataFrame:
-    """One row, ``mask``: a bit for each hash of the column's values, so ``in_mask`` misses none of them."""
-    at = F.pmod(F.xxhash64(column), F.lit(MASK_WORDS * 64))
-    words = ids.groupBy(F.floor(at / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).alias("bits"))
-    every = ids.sparkSession.range(MASK_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("word"))
+    """One row, ``mask``: bits for the hashes of the column's values, so ``in_mask`` misses none of them; ``ids`` is counted first, so it is best a table."""
+    words = mask_words(ids.count())
+    spots = ids.select(F.explode(F.array(*[_place(F.col(column), k, words) for k in range(MASK_PLACES)])).alias("at"))
+    set_ = spots.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+    every = ids.sparkSession.range(words, numPartitions=1).select(F.col("id").cast("int").alias("word"))
     rows = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.join(words, "word", "left").agg(F.transform(rows, lambda x: x["bits"]).alias("mask"))
+    return every.join(set_, "word", "left").agg(F.transform(rows, lambda x: x["bits"]).alias("mask"))
 
 
 def in_mask(column: str) -> Column:
     """Whether a value may be one of those of the mask; a few others seem to be."""
-    at = F.pmod(F.xxhash64(column), F.lit(MASK_WORDS * 64))
-    word = F.get("mask", F.floor(at / 64).cast("int"))
-    return F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    found = F.lit(True)
+    for k in range(MASK_PLACES):
+        at = _place(F.col(column), k, F.size("mask"))
+        word = F.get("mask", F.floor(at / 64).cast("int"))
+        found &= F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return found

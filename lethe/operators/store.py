@@ -146,7 +146,7 @@ class Store:
         """Write the payloads of the new chunks; only files with a piece that is stored elsewhere, or of another class, are looked up."""
         here = made.select("recipe_id", "pos", F.lit(True).alias("here"))
         apart = chunks.join(here, ["recipe_id", "pos"], "left").where("here is null or moved").select("recipe_id")
-        mask = F.broadcast(scratch.table(C.mask(apart, "recipe_id"), "apart"))
+        mask = F.broadcast(self._mask(apart, "recipe_id"))
         asked = C.in_mask("recipe_id")
         found = made.join(mask, asked, "left_semi").select("chunk_id", F.col("file_class").alias("label")).hint("shuffle_hash")
         some = self._sealed(rows.join(mask, asked, "left_semi"), secret).join(found, "chunk_id").withColumn("file_class", F.col("label"))
@@ -160,6 +160,11 @@ class Store:
             raise RuntimeError("the files changed while they were ingested")
         return staged
 
+    @staticmethod
+    def _mask(ids: DataFrame, column: str) -> DataFrame:
+        """The mask of a column of ids; both are written."""
+        return scratch.table(C.mask(scratch.table(ids, "mask-ids"), column), "mask")
+
     def _wrapped(self, owned: DataFrame, made: DataFrame, secret: Callable[[Column], Column]) -> tuple[DataFrame, str]:
         """New wraps of owned chunks (chunk_id, subject); the staged file of new subjects' keys."""
         t = self.tables
@@ -186,8 +191,8 @@ class Store:
         """
         log = self.tables.read("chunk_log").select("chunk_id", "payload")
         if few:
-            mask = scratch.table(C.mask(wanted.select(F.explode("chunk_ids").alias("chunk_id")), "chunk_id"), "wanted-chunks")
-            log = log.join(F.broadcast(mask), C.in_mask("chunk_id"), "left_semi")
+            mask = F.broadcast(self._mask(wanted.select(F.explode("chunk_ids").alias("chunk_id")), "chunk_id"))
+            log = log.join(mask, C.in_mask("chunk_id"), "left_semi")
         opened = self._opened(wanted).where("dek is not null").hint("shuffle_hash").join(log, "chunk_id").withColumn("packed", F.expr("try_aes_decrypt(payload, dek)"))
         whole = opened.groupBy("recipe_id").agg(F.expr("listagg(packed) within group (order by pos)").alias("packed"), (F.count("packed") == F.max("pieces")).alias("all"))
         return whole.select("recipe_id", F.when(F.col("all"), F.col("packed")).alias("packed"))

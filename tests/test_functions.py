@@ -52,6 +52,16 @@ def test_masks_miss_nothing(spark):
     assert ids.join(F.broadcast(C.mask(ids.limit(0), "id")), C.in_mask("id"), "left_anti").count() == 10000
 
 
+def test_masks_grow_with_their_ids(spark):
+    """However many ids a mask has, of other ids hardly any seem to be of it; few ids take a small one."""
+    for n, words in ((10, C.MASK_LEAST), (700000, 1 << 19)):
+        mask = C.mask(spark.range(n), "id")
+        assert mask.select(F.size("mask")).first()[0] == words
+        assert spark.range(n, n + 100000).join(F.broadcast(mask), C.in_mask("id"), "left_semi").count() < 600
+        assert spark.range(n).join(F.broadcast(mask), C.in_mask("id"), "left_anti").isEmpty()
+    assert [C.mask_words(x) for x in (0, 512, 4 << 20, 1 << 40)] == [C.MASK_LEAST, 1 << 9, C.MASK_MOST, C.MASK_MOST]
+
+
 def test_packed_pieces(spark):
     """Pieces come back, alone and joined end to end; text takes less than half, other bytes 16 more, null stays null."""
     text, noise = b"the same words again and again, \n" * 120, random.Random(3).randbytes(4096)
